@@ -11,8 +11,9 @@
 4. The rest is confirmed on the full sets, and components are taken.
 
 A bucket of M classes is not expanded into M*M pairs.  First every member meets
-the bucket's smallest class, the best-estimated one of these per member is
-confirmed, and components are taken.  Then only buckets that still hold more than
+the bucket's smallest class and its hub, the class with most company over all bands
+(the text that a family of copies was made from is in more and fuller buckets than
+they are), and components are taken.  Then only buckets that still hold more than
 one component give pairs, and only pairs across components: of each bucket, the
 members outside its largest component against all members.  Pairs inside a
 component can't change it, so no bucket needs a cap and no link between
@@ -157,8 +158,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         classes.select("set_hi", "set_lo", "n_shingles", F.col("class").alias("id")), [*fingerprint, "id"], "left_semi"
     )
     keys = firsts.select(F.col("id").alias("class"), F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high")
-    members = stage(keys.join(shared.select("band", "low"), "band"), "buckets")
+    sizes = keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stage(keys.join(sizes, "band"), "buckets")
+    degrees = members.groupBy("class").agg(F.sum("n").alias("degree"))
+    heads = members.join(degrees, "class").groupBy("band").agg(
+        F.max_by("class", F.struct("degree", -F.col("class"))).alias("hub"), F.min("class").alias("low")
+    )
     signatures = firsts.select(F.col("id").alias("class"), "signature")
     least = percent / 100 - MARGIN
 
@@ -168,12 +173,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         found = pairs.join(a, "a").join(b, "b").withColumn("estimate", estimated_similarity("sig_a", "sig_b"))
         return found.filter(F.col("estimate") >= least).select("a", "b", "estimate")
 
-    stars = members.filter("low != class").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct()
-    best = estimated(stars).groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
+    spokes = members.join(heads, "band").select("class", F.explode(F.array("hub", "low")).alias("head")).filter("class != head")
+    stars = stage(estimated(spokes.select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b")).distinct()), "stars")
     named = members.select(F.col("class").alias("id")).distinct()
     texts = source.join(named, "id", "left_semi").dropDuplicates(["id"])
     sets = stage(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-    links = stage(_confirmed(best, sets, percent), "links")
+    links = stage(_confirmed(stars, sets, percent), "links")
     parts = connected_components(links)
 
     labelled = members.select("band", "class").join(
@@ -191,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         .filter("cx != cy and (cy = main or x < y)")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
-        .join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        .join(stars.select("a", "b"), ["a", "b"], "left_anti")
     )
     more = stage(_confirmed(estimated(across), sets, percent), "links")
     merged = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)

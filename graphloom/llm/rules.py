@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 TARGET_DOCS = 20_000
 SMOOTHING = 1.0
 THRESHOLD = -0.1
@@ -76,19 +76,29 @@ def repeated_words(words: Column, window: int = 3) -> Column:
     return _bound(hashed(words), count)
 
 
-def base_columns(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``words`` and the base counts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    return (
-        docs.withColumn("words", words_of(F.col("text")))
-        .withColumn("n_words", F.size("words").cast("long"))
-        .withColumn("word_chars", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
-        .withColumn("n_dup_lines", _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("n_repeat_words", repeated_words(F.col("words")))
-        .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    )
+def judged(text: Column, ratios: Column, threshold: float) -> Column:
+    """Struct of what the words of a text decide: counts, score and verdict.
+
+    Everything hangs on one binding of the words, so no plan, wherever the optimiser
+    moves it, splits a text more than once per use of the struct.
+    """
+
+    def mean(buckets: Column) -> Column:
+        total = F.aggregate(buckets, F.lit(0.0), lambda acc, x: acc + ratios[x])
+        return F.when(F.size(buckets) > 0, total / F.size(buckets))
+
+    def measures(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"), repeated_words(words).alias("n_repeat_words"),
+            _bound(ngram_buckets(words), mean).alias("score"),
+        )
+
+    def verdict(m: Column) -> Column:
+        failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        kept = ~failed & F.coalesce(m["score"] >= threshold, F.lit(False))
+        return F.struct(m["n_words"].alias("n_words"), m["n_repeat_words"].alias("n_repeat_words"), m["score"].alias("score"), failed.alias("base_failed"), kept.alias("kept"))
+
+    return _bound(_bound(words_of(text), measures), verdict)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -102,7 +112,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text").join(
         F.broadcast(chosen.withColumn("trusted", F.lit(1))), "doc_id", "left"
     )
-    grams = marked.select(F.explode(ngram_buckets(words_of(F.col("text")))).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    grams = marked.select(F.explode(_bound(words_of(F.col("text")), ngram_buckets)).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
     rows = every.agg(
@@ -128,15 +138,13 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     columns = [x for x in docs.columns if x not in added]
-    ratios = log_ratios(docs, trusted).scalar()
-    based = base_columns(docs.select(*columns))
-
-    def mean(buckets: Column) -> Column:
-        total = F.aggregate(buckets, F.lit(0.0), lambda acc, x: acc + ratios[x])
-        return F.when(F.size(buckets) > 0, total / F.size(buckets))
-
-    return (
-        based.withColumn("score", _bound(ngram_buckets(F.col("words")), mean))
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
-        .select(*columns, *added)
-    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
+    rows = docs.select(*columns).withColumn("ratios", log_ratios(docs, trusted).scalar())
+    rows = rows.withColumn("rules", judged(F.col("text"), F.col("ratios"), threshold))
+    return rows.select(
+        *columns, "rules.n_words", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        "rules.n_repeat_words", "rules.base_failed", "rules.score", "rules.kept",
+    )
