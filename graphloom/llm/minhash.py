@@ -17,7 +17,8 @@ they are), and components are taken.  Then only buckets that still hold more tha
 one component give pairs, and only pairs across components: of each bucket, the
 members outside its largest component against all members.  Pairs inside a
 component can't change it, so no bucket needs a cap and no link between
-components is lost.
+components is lost.  These pairs are tested on their full sets, by blocks of ``BLOCK``
+members, inside the tasks; only links leave a task.
 
 Misses: a pair at similarity 0.85 shares no band with probability (1-0.85^5)^24,
 below 1e-6.
@@ -44,6 +45,8 @@ PER_LONG = 64 // LOW_BITS
 SIGNATURE_LONGS = -(-PERMUTATIONS // PER_LONG)
 #: Estimates this far below the threshold are not confirmed (five standard deviations).
 MARGIN = 0.17
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 512
 
 _rng = np.random.default_rng(7_2024)
 _FACTORS = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,6 +112,59 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _crossing(percent: int):
+    """Links of the asking rows of each run of ``band, i, j`` with its other rows, across components."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch | None:
+        asks = rows.column("asks").to_numpy()
+        if not asks.any() or asks.all():
+            return None
+        ids, parts = rows.column("class").to_numpy(), rows.column("component").to_numpy()
+        main = rows.column("main")[0].as_py()
+        sets = rows.column("shingles").combine_chunks()
+        bounds = np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))))
+        values = sets.flatten().to_numpy()
+        others = np.flatnonzero(~asks)
+        sizes = np.diff(bounds)
+        place = np.repeat(np.arange(len(rows)), sizes)
+        here = ~asks[place]
+        found, owner = values[here], np.repeat(np.arange(len(others)), sizes[others])
+        order = np.argsort(found, kind="stable")
+        found, owner = found[order], owner[order]
+        out_a, out_b = [], []
+        for q in np.flatnonzero(asks):
+            own = values[bounds[q] : bounds[q + 1]]
+            low = np.searchsorted(found, own, side="left")
+            n = np.searchsorted(found, own, side="right") - low
+            hits = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            shared = np.bincount(owner[hits], minlength=len(others))
+            near = 100 * shared >= percent * (sizes[q] + sizes[others] - shared)
+            near &= (parts[others] != parts[q]) & ((parts[others] == main) | (ids[others] > ids[q]))
+            out_b.append(ids[others[near]])
+            out_a.append(np.full(len(out_b[-1]), ids[q]))
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("band", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi == lo:
+                    continue
+                if key is not None and key != tuple(keys[lo]):
+                    if (found := links(pa.Table.from_batches(held))) is not None:
+                        yield found
+                    held = []
+                key = tuple(keys[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held and (found := links(pa.Table.from_batches(held))) is not None:
+            yield found
+
+    return run
+
+
 def estimated_similarity(a: str, b: str) -> F.Column:
     """Collision-corrected Jaccard estimate of two packed signature columns, by bit counts."""
     ones = sum(1 << (LOW_BITS * i) for i in range(PER_LONG))
@@ -181,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     links = stage(_confirmed(stars, sets, percent), "links")
     parts = connected_components(links)
 
-    labelled = members.select("band", "class").join(
+    labelled = members.select("band", "class", "n").join(
         parts.select(F.col("id").alias("class"), "component"), "class", "left"
     ).withColumn("component", F.coalesce("component", "class"))
     by_part = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
@@ -189,16 +245,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts")
     ).filter("parts > 1")
     labelled = stage(labelled.join(mixed.select("band", "main"), "band"), "mixed")
-    rest = labelled.filter("component != main").select("band", F.col("class").alias("x"), F.col("component").alias("cx"))
-    other = labelled.select("band", F.col("class").alias("y"), F.col("component").alias("cy"), "main")
-    across = (
-        rest.join(other, "band")
-        .filter("cx != cy and (cy = main or x < y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    more = stage(_confirmed(estimated(across), sets, percent), "links")
+    labelled = labelled.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    labelled = labelled.withColumn("at", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["band", "i", "j", "asks", "class", "component", "main"]
+    targets = labelled.withColumn("asks", F.lit(False)).withColumnRenamed("at", "j").withColumn("i", every).select(columns)
+    queries = labelled.filter("component != main").withColumn("asks", F.lit(True)).withColumnRenamed("at", "i").withColumn("j", every).select(columns)
+    rows = targets.unionByName(queries).join(sets.withColumnRenamed("id", "class"), "class").select(*columns, "shingles")
+    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    more = stage(rows.mapInArrow(_crossing(percent), "a long, b long").distinct(), "links")
     merged = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     final = connected_components(merged)
 
