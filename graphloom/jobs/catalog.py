@@ -1,8 +1,565 @@
-"""Named queries of the similarity-graph operators, with their SQL."""
+"""Named queries of the similarity-graph operators on the given tables, with their SQL.
+
+Bindings: an item is an embedding, its taxon the label; its cluster is the id modulo 7
+where a query needs one.  A heartbeat is an event.  Edges are all pairs of embeddings,
+``subsmat`` their cosine, ``psi`` one over one plus their distance; scores are rounded to
+nine places before they are compared, so that the order of a sum can't break a tie.
+Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from graphloom.functions import columns as C
+from graphloom.functions.staging import stage
+from graphloom.operators import compare, graph, mcl, mcmc, placement, scoring, similarity
+from graphloom.streaming import heartbeat
+
+#: Edges of the sparse graphs: cosine from here up.
+NEAR = 0.25
+INFLATION = 2.0
+CLUSTERS = 7
+CHAINS = 3
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("taxon"), (F.col("vec_id") % CLUSTERS).alias("cluster"))
+
+
+def _edges(spark: SparkSession, sf_dir: str, least: float | None = None) -> DataFrame:
+    pairs = similarity.vector_pairs(_vectors(spark, sf_dir), least)
+    raw = F.round(similarity.PROFILE_SHARE * F.col("psi") + similarity.MATRIX_SHARE * F.col("subsmat"), 9)
+    return pairs.withColumn("raw_score", raw)
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+_PAIRS = """v AS (SELECT vec_id AS id, label AS taxon, vec_id % 7 AS cluster, embedding::DOUBLE[] AS vec FROM embeddings),
+pairs AS (
+  SELECT a.id AS seq1, b.id AS seq2, list_cosine_similarity(a.vec, b.vec) AS subsmat, 1e0 / (1e0 + list_distance(a.vec, b.vec)) AS psi
+  FROM v a JOIN v b ON a.id < b.id),
+edges AS (SELECT *, round(0.3e0 * psi + 0.7e0 * subsmat, 9) AS raw_score FROM pairs),
+near AS (SELECT * FROM edges WHERE subsmat >= 0.25e0),
+both AS (SELECT seq1 AS src, seq2 AS dst, * EXCLUDE (seq1, seq2) FROM edges UNION ALL SELECT seq2, seq1, * EXCLUDE (seq1, seq2) FROM edges)"""
+
+
+# pairs and scores -------------------------------------------------------------------------
+
+
+@_query(f"WITH {_PAIRS} SELECT seq1, seq2, round(subsmat, 6) AS subsmat, round(psi, 6) AS psi FROM pairs")
+def pairs_all_by_all(spark, sf_dir):
+    return _rounded(similarity.vector_pairs(_vectors(spark, sf_dir)), "subsmat", "psi")
+
+
+@_query("WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT n, n * (n - 1) // 2 AS expected, n * (n - 1) // 2 AS pairs FROM n")
+def pair_count_invariant(spark, sf_dir):
+    n = _t(spark, sf_dir, "embeddings").agg(F.count("*").alias("n")).withColumn("_1", F.lit(1))
+    pairs = similarity.vector_pairs(_vectors(spark, sf_dir)).agg(F.count("*").alias("pairs")).withColumn("_1", F.lit(1))
+    return n.join(pairs, "_1").select("n", F.expr("n * (n - 1) div 2").alias("expected"), "pairs")
+
+
+_SCALED = """round(0.3e0 * (psi - min(psi) OVER w) / nullif(max(psi) OVER w - min(psi) OVER w, 0)
+  + 0.7e0 * (subsmat - min(subsmat) OVER w) / nullif(max(subsmat) OVER w - min(subsmat) OVER w, 0), 6) AS score"""
+
+
+@_query(f"WITH {_PAIRS} SELECT seq1, seq2, round(raw_score, 6) AS raw_score, {_SCALED} FROM edges WINDOW w AS ()")
+def sim_minmax(spark, sf_dir):
+    scored = similarity.with_final_scores(similarity.vector_pairs(_vectors(spark, sf_dir)))
+    return _rounded(scored.withColumn("raw_score", F.round("raw_score", 9)), "raw_score", "score").select("seq1", "seq2", "raw_score", "score")
+
+
+@_query(f"""WITH {_PAIRS}, own AS (SELECT e.*, a.taxon FROM edges e JOIN v a ON a.id = seq1 JOIN v b ON b.id = seq2 AND a.taxon = b.taxon)
+SELECT taxon, seq1, seq2, {_SCALED} FROM own WINDOW w AS (PARTITION BY taxon)""")
+def sim_minmax_by_taxon(spark, sf_dir):
+    own = graph.induced(similarity.vector_pairs(_vectors(spark, sf_dir)), _nodes(spark, sf_dir).select("id", F.col("taxon").alias("cluster")))
+    scored = similarity.with_final_scores(own.withColumnRenamed("cluster", "taxon"), ["taxon"])
+    return _rounded(scored, "score").select("taxon", "seq1", "seq2", "score")
+
+
+@_query(f"""WITH {_PAIRS} SELECT seq1, seq2, CASE WHEN raw_score > 0.3e0 THEN round(raw_score, 6) ELSE 0e0 END AS raw_score FROM edges""")
+def edge_threshold(spark, sf_dir):
+    edges = graph.thresholded(_edges(spark, sf_dir), 0.3, "raw_score")
+    return _rounded(edges, "raw_score").select("seq1", "seq2", "raw_score")
+
+
+@_query(f"""WITH {_PAIRS} SELECT a.cluster, seq1, seq2, round(subsmat, 6) AS subsmat FROM near JOIN v a ON a.id = seq1 JOIN v b ON b.id = seq2 AND a.cluster = b.cluster""")
+def induced_subgraph(spark, sf_dir):
+    inside = graph.induced(_edges(spark, sf_dir, NEAR), _nodes(spark, sf_dir).select("id", "cluster"))
+    return _rounded(inside, "subsmat").select("cluster", "seq1", "seq2", "subsmat")
+
+
+@_query(f"""WITH {_PAIRS} SELECT seq1, seq2, round(subsmat, 6) AS subsmat FROM near JOIN v a ON a.id = seq1 JOIN v b ON b.id = seq2 WHERE (a.taxon < 3) <> (b.taxon < 3)""")
+def cut_edges(spark, sf_dir):
+    ids = _nodes(spark, sf_dir).filter("taxon < 3")
+    return _rounded(graph.cut(_edges(spark, sf_dir, NEAR), ids), "subsmat").select("seq1", "seq2", "subsmat")
+
+
+@_query(f"""WITH {_PAIRS} SELECT src, dst, round(raw_score, 6) AS raw_score FROM both JOIN v ON v.id = src AND v.taxon = 0 WHERE subsmat >= 0.25e0""")
+def incident_edges(spark, sf_dir):
+    at = graph.incident(_edges(spark, sf_dir, NEAR), _nodes(spark, sf_dir).filter("taxon = 0"))
+    return _rounded(at, "raw_score").select("src", "dst", "raw_score")
+
+
+@_query(f"""WITH {_PAIRS}, gone AS (SELECT id FROM v WHERE taxon = 0)
+SELECT seq1, seq2, round(subsmat, 6) AS subsmat FROM near WHERE seq1 NOT IN (SELECT id FROM gone) AND seq2 NOT IN (SELECT id FROM gone)""")
+def dropped_nodes(spark, sf_dir):
+    left = graph.without_nodes(_edges(spark, sf_dir, NEAR), _nodes(spark, sf_dir).filter("taxon = 0"))
+    return _rounded(left, "subsmat").select("seq1", "seq2", "subsmat")
+
+
+# best hits --------------------------------------------------------------------------------
+
+_HITS = "hits AS (SELECT src, dst, raw_score FROM (SELECT *, rank() OVER (PARTITION BY src ORDER BY raw_score DESC) AS r FROM both) WHERE r = 1)"
+
+
+@_query(f"WITH {_PAIRS}, {_HITS} SELECT src, dst, round(raw_score, 6) AS raw_score FROM hits")
+def best_hits_ties(spark, sf_dir):
+    return _rounded(graph.best_hits(_edges(spark, sf_dir)), "raw_score")
+
+
+@_query(f"""WITH {_PAIRS}, {_HITS} SELECT x.src AS seq1, x.dst AS seq2, a.taxon AS taxon1, b.taxon AS taxon2, round(x.raw_score, 6) AS raw_score
+FROM hits x JOIN hits y ON x.src = y.dst AND x.dst = y.src JOIN v a ON a.id = x.src JOIN v b ON b.id = x.dst WHERE x.src < x.dst""")
+def reciprocal_best_hits(spark, sf_dir):
+    pairs = graph.reciprocal_best_hits(_edges(spark, sf_dir))
+    taxa = _nodes(spark, sf_dir).select("id", "taxon")
+    named = pairs.join(taxa.select(F.col("id").alias("seq1"), F.col("taxon").alias("taxon1")), "seq1").join(
+        taxa.select(F.col("id").alias("seq2"), F.col("taxon").alias("taxon2")), "seq2"
+    )
+    return _rounded(named, "raw_score").select("seq1", "seq2", "taxon1", "taxon2", "raw_score")
+
+
+@_query(f"""WITH RECURSIVE {_PAIRS}, {_HITS}, reach AS (SELECT id AS start, id FROM v UNION SELECT r.start, h.dst FROM reach r JOIN hits h ON h.src = r.id)
+SELECT start, count(*) AS n, min(id) AS first_id FROM reach GROUP BY start""")
+def best_hit_closure(spark, sf_dir):
+    reach = graph.best_hit_closure(_edges(spark, sf_dir), starts=_nodes(spark, sf_dir))
+    return reach.groupBy("start").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@_query()
+def collapsed_paralogs(spark, sf_dir):
+    members = _nodes(spark, sf_dir)
+    return graph.collapsed_paralogs(_edges(spark, sf_dir), members)
+
+
+@_query(f"""WITH RECURSIVE {_PAIRS}, {_HITS}, reach AS (SELECT id AS start, id FROM v UNION SELECT r.start, h.dst FROM reach r JOIN hits h ON h.src = r.id),
+named AS (SELECT start AS clique, reach.id, v.taxon FROM reach JOIN v ON v.id = start),
+ok AS (SELECT clique FROM named GROUP BY clique HAVING count(*) >= 3 AND count(*) < (SELECT count(*) FROM v))
+SELECT clique, id FROM named WHERE clique IN (SELECT clique FROM ok)
+AND clique NOT IN (SELECT a.clique FROM named a JOIN named b ON a.id = b.id AND a.taxon = b.taxon AND a.clique <> b.clique)""")
+def qualified_cliques(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    reach = graph.best_hit_closure(_edges(spark, sf_dir), starts=nodes)
+    return graph.qualified_cliques(reach.withColumnRenamed("start", "clique"), nodes.select("id", "taxon"), nodes.count())
+
+
+# clusters and their scores ----------------------------------------------------------------
+
+
+@_query("SELECT vec_id % 7 AS cluster, label AS taxon, count(*) AS n, string_agg(vec_id, ',' ORDER BY vec_id) AS ids FROM embeddings GROUP BY ALL")
+def taxon_counts(spark, sf_dir):
+    return scoring.taxon_counts(_nodes(spark, sf_dir)).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+@_query("SELECT max(n) AS max_genes FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)")
+def max_genes(spark, sf_dir):
+    return scoring.max_genes(_nodes(spark, sf_dir))
+
+
+_DIM = """m AS (SELECT vec_id AS id, label AS taxon, {cluster} AS cluster FROM embeddings),
+sizes AS (SELECT taxon, count(*)::DOUBLE AS size FROM m GROUP BY taxon),
+k AS (SELECT cluster, taxon, row_number() OVER (PARTITION BY cluster, taxon ORDER BY id) - 1 AS k FROM m),
+base AS (SELECT cluster, n / t AS a, t, CASE WHEN n / t < t THEN 0.5e0 * (n / t) / t WHEN n / t = t THEN 0.5e0 ELSE 1 - 0.5e0 * t / (n / t) END AS drb
+  FROM (SELECT cluster, count(*)::DOUBLE AS n, count(DISTINCT taxon)::DOUBLE AS t FROM m GROUP BY cluster)),
+sub AS (SELECT cluster, k, sum((SELECT max(size) FROM sizes) / size) * (count(*)::DOUBLE / (SELECT count(*) FROM sizes) + 1) AS s FROM k JOIN sizes USING (taxon) GROUP BY cluster, k),
+dim AS (SELECT cluster, round(sum(s * pow(drb, k)), 6) AS score FROM sub JOIN base USING (cluster) GROUP BY cluster)"""
+
+
+@_query(f"WITH {_DIM.format(cluster='vec_id % 7')} SELECT * FROM dim")
+def diminishing_returns_score(spark, sf_dir):
+    return _rounded(scoring.diminishing_returns(_nodes(spark, sf_dir)), "score")
+
+
+@_query("""WITH m AS (SELECT vec_id AS id, label AS taxon, vec_id % 7 AS cluster FROM embeddings), sizes AS (SELECT taxon, count(*)::DOUBLE AS size FROM m GROUP BY taxon),
+own AS (SELECT cluster, taxon, count(*)::DOUBLE AS n, any_value(size) AS size FROM m JOIN sizes USING (taxon) GROUP BY cluster, taxon),
+s AS (SELECT cluster, sum(CASE WHEN n = 1 THEN size ELSE 0 END) AS one, count(*) FILTER (n = 1) AS u, sum(CASE WHEN n > 1 THEN pow(n, 2 * n / size) ELSE 0 END) AS rep, sum(n) AS members FROM own GROUP BY cluster),
+f AS (SELECT cluster, (1 + one) * pow(1.2e0, u) / CASE WHEN rep > 0 THEN rep ELSE 1 END AS score, members, (SELECT count(*) FROM m) / 2e0 AS half FROM s),
+l AS (SELECT cluster, log2(score * CASE WHEN abs(members - half) < half THEN (half - abs(members - half)) / half ELSE 1 / half END) AS l FROM f)
+SELECT cluster, round(l * abs(l), 6) AS score FROM l""")
+def replicate_penalty_score(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    return _rounded(scoring.replicate_penalty(nodes, nodes.select("id", "taxon")), "score")
+
+
+@_query(f"""WITH worst AS (WITH {_DIM.format(cluster='label')} SELECT sum(score) AS s FROM dim),
+best AS (WITH {_DIM.format(cluster='row_number() OVER (PARTITION BY label ORDER BY vec_id)')} SELECT sum(score) AS s FROM dim)
+SELECT round(worst.s, 4) AS worst, round(best.s, 4) AS best FROM worst, best""")
+def best_worst_possible(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir).select("id", "taxon")
+    worst, best = (scoring.diminishing_returns(p).agg(F.round(F.sum(F.round("score", 6)), 4).alias(n)) for p, n in zip(scoring.extreme_partitions(nodes), ("worst", "best"), strict=True))
+    return worst.withColumn("_1", F.lit(1)).join(best.withColumn("_1", F.lit(1)), "_1").select("worst", "best")
+
+
+@_query("SELECT label, md5(string_agg(vec_id::VARCHAR, ', ' ORDER BY vec_id::VARCHAR)) AS hash FROM embeddings GROUP BY label")
+def cluster_hash(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").groupBy("label").agg(C.cluster_hash(F.collect_list(F.col("vec_id").cast("string"))).alias("hash"))
+
+
+@_query("SELECT c_nationkey AS cluster, count(*) AS size FROM customer GROUP BY 1 HAVING count(*) BETWEEN 5 AND 700")
+def cluster_size_filter(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("cluster")).agg(F.count("*").alias("size")).filter("size between 5 and 700")
+
+
+@_query("SELECT c_custkey AS cluster FROM customer WHERE c_custkey NOT IN (SELECT c_custkey // 10 FROM customer WHERE c_custkey > 0)")
+def leaf_clusters(spark, sf_dir):
+    tree = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cluster"), F.when(F.col("c_custkey") > 0, F.expr("c_custkey div 10")).alias("parent"))
+    return tree.join(tree.filter("parent is not null").select(F.col("parent").alias("cluster")), "cluster", "left_anti").select("cluster")
+
+
+@_query("SELECT row_number() OVER (ORDER BY count(*) DESC, c_nationkey)::INTEGER AS rank, c_nationkey AS cluster, count(*) AS size FROM customer GROUP BY c_nationkey")
+def clusters_by_size(spark, sf_dir):
+    return graph.size_ordered(_t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("cluster"), F.col("c_custkey").alias("id"))).select("rank", "cluster", "size")
+
+
+# Markov clustering ------------------------------------------------------------------------
+
+_MCL = f"""{_PAIRS}, sym AS (SELECT seq1 AS i, seq2 AS j, subsmat AS w FROM near WHERE subsmat > 0.25e0 UNION ALL SELECT seq2, seq1, subsmat FROM near WHERE subsmat > 0.25e0),
+full0 AS (SELECT * FROM sym UNION ALL SELECT i, i, max(w) FROM sym GROUP BY i),
+m0 AS (SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM full0)"""
+
+
+def _mcl_step(n: int) -> str:
+    return f"""e{n} AS (SELECT a.i, b.j, pow(sum(a.w * b.w), 2e0) AS w FROM m{n - 1} a JOIN m{n - 1} b ON a.j = b.i GROUP BY a.i, b.j),
+m{n} AS (SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM e{n})"""
+
+
+def _start(spark, sf_dir) -> DataFrame:
+    return mcl.transition_matrix(_edges(spark, sf_dir, NEAR), NEAR, "subsmat")
+
+
+@_query(f"WITH {_MCL} SELECT i, j, round(w, 6) AS w FROM m0")
+def mcl_init(spark, sf_dir):
+    return _rounded(_start(spark, sf_dir), "w")
+
+
+@_query(f"WITH {_MCL}, {_mcl_step(1)} SELECT i, j, round(w, 6) AS w FROM m1 WHERE w > 1e-4")
+def mcl_step(spark, sf_dir):
+    return _rounded(mcl.mcl_step(_start(spark, sf_dir), INFLATION).filter("w > 1e-4"), "w")
+
+
+@_query(f"WITH {_MCL}, {_mcl_step(1)}, {_mcl_step(2)}, {_mcl_step(3)} SELECT i, j, round(w, 6) AS w FROM m3 WHERE w > 1e-4")
+def mcl_step3(spark, sf_dir):
+    m = stage(_start(spark, sf_dir), "mcl")
+    for _ in range(3):
+        m = stage(mcl.mcl_step(m, INFLATION), "mcl")
+    return _rounded(m.filter("w > 1e-4"), "w")
+
+
+@_query(f"""WITH {_MCL}, {_mcl_step(1)} SELECT round(sum(pow(coalesce(m1.w, 0) - coalesce(m0.w, 0), 2)), 6) AS distance FROM m0 FULL JOIN m1 ON m0.i = m1.i AND m0.j = m1.j""")
+def matrix_distance(spark, sf_dir):
+    m = stage(_start(spark, sf_dir), "mcl")
+    return _rounded(mcl.matrix_distance(m, mcl.mcl_step(m, INFLATION)), "distance")
+
+
+@_query()
+def mcl_clusters(spark, sf_dir):
+    return mcl.markov_clusters(_edges(spark, sf_dir, NEAR), _nodes(spark, sf_dir), INFLATION, NEAR, "subsmat")
+
+
+@_query()
+def mcl_clusters_by_taxon(spark, sf_dir):
+    own = graph.induced(_edges(spark, sf_dir), _nodes(spark, sf_dir).select("id", F.col("taxon").alias("cluster")))
+    graphs = own.select("cluster", "seq1", "seq2", F.col("subsmat").alias("score"), F.lit(INFLATION).alias("inflation"), F.lit(0.1).alias("threshold"))
+    return mcl.clusters_by_group(graphs)
+
+
+# aligned texts and profiles ---------------------------------------------------------------
+
+
+@_query("""WITH t AS (SELECT doc_id, text FROM documents WHERE length(text) > 0), p AS (SELECT a.doc_id AS pair, a.text AS x, b.text AS y, greatest(length(a.text), length(b.text)) AS n FROM t a JOIN t b ON b.doc_id = a.doc_id + 1),
+q AS (SELECT pair, unnest(range(1, n + 1)) AS pos, x, y FROM p), c AS (SELECT pair, pos, CASE WHEN pos > length(x) THEN ' ' ELSE x[pos] END AS x, CASE WHEN pos > length(y) THEN ' ' ELSE y[pos] END AS y FROM q),
+g AS (SELECT *, x = ' ' OR y = ' ' AS gap, lag(x = ' ' OR y = ' ', 1, true) OVER (PARTITION BY pair ORDER BY pos) AS before FROM c),
+s AS (SELECT pair, sum(CASE WHEN gap THEN CASE WHEN before THEN 0 ELSE -5 END WHEN x = y THEN 4 ELSE -1 END)::DOUBLE / count(*) AS seen,
+  sum(CASE WHEN x <> ' ' THEN 4e0 END) / count(*) FILTER (x <> ' ') AS b1, sum(CASE WHEN y <> ' ' THEN 4e0 END) / count(*) FILTER (y <> ' ') AS b2 FROM g GROUP BY pair)
+SELECT pair, round((seen / b1 + seen / b2) / 2, 6) AS score FROM s""")
+def align_score(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", "text")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    longest = F.greatest(F.length("text"), F.length("other"))
+    pairs = docs.join(after, "doc_id").select(F.col("doc_id").alias("pair"), F.rpad("text", longest, F.lit(" ")).alias("seq1"), F.rpad("other", longest, F.lit(" ")).alias("seq2"))
+    chars = docs.select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).filter("c != '' and c != ' '").distinct()
+    both = chars.select(F.col("c").alias("a"), F.lit(1).alias("_1")).join(chars.select(F.col("c").alias("b"), F.lit(1).alias("_1")), "_1")
+    matrix = both.select("a", "b", F.when(F.col("a") == F.col("b"), 4.0).otherwise(-1.0).alias("value"))
+    return _rounded(similarity.alignment_scores(pairs, matrix, gap=" "), "score")
+
+
+_PROFILES = """p AS (SELECT l_orderkey AS id, l_linenumber AS indx, min(l_discount) AS c, min(l_tax) AS h, min(l_quantity) / 50e0 AS s FROM lineitem GROUP BY 1, 2)"""
+
+
+@_query(f"""WITH {_PROFILES}, ids AS (SELECT DISTINCT id FROM p), pairs AS (SELECT a.id AS seq1, b.id AS seq2 FROM ids a JOIN ids b ON b.id = a.id + 1),
+j AS (SELECT seq1, seq2, coalesce(x.indx, y.indx) AS indx, (3 - abs(x.c - y.c) - abs(x.h - y.h) - abs(x.s - y.s)) / 3 AS m FROM
+  (SELECT * FROM pairs JOIN p ON p.id = seq1) x FULL JOIN (SELECT seq1 AS s1, seq2 AS s2, p.* FROM pairs JOIN p ON p.id = seq2) y ON x.seq1 = y.s1 AND x.indx = y.indx)
+SELECT pairs.seq1, pairs.seq2, round(coalesce(sum(m), 0) / ((SELECT 0) + count(*)), 6) AS psi FROM pairs JOIN
+ (SELECT coalesce(x.seq1, y.s1) AS seq1, (3 - abs(x.c - y.c) - abs(x.h - y.h) - abs(x.s - y.s)) / 3 AS m FROM (SELECT * FROM pairs JOIN p ON p.id = seq1) x
+  FULL JOIN (SELECT seq1 AS s1, p.* FROM pairs JOIN p ON p.id = seq2) y ON x.seq1 = y.s1 AND x.indx = y.indx) z USING (seq1) GROUP BY ALL""")
+def profile_score(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("indx")).agg(
+        F.min("l_discount").alias("coil_prob"), F.min("l_tax").alias("helix_prob"), (F.min("l_quantity") / 50).alias("sheet_prob")
+    )
+    ids = lines.select("id").distinct()
+    pairs = ids.select(F.col("id").alias("seq1"), (F.col("id") + 1).alias("seq2")).join(ids.select(F.col("id").alias("seq2")), "seq2")
+    return _rounded(similarity.profile_scores(pairs, lines), "psi")
+
+
+@_query("""WITH c AS (SELECT unnest(range(1, length(p_name) + 1)) AS pos, p_name AS s FROM part), n AS (SELECT pos - 1 AS pos, s[pos] AS residue, count(*) AS n FROM c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, residue) AS r FROM n) SELECT string_agg(residue, '' ORDER BY pos) AS consensus FROM r WHERE r = 1""")
+def consensus(spark, sf_dir):
+    return similarity.consensus(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("seq")))
+
+
+@_query("""WITH i AS (SELECT 'customer' AS source, c_name AS id FROM customer UNION ALL SELECT 'supplier', s_name FROM supplier)
+SELECT source, count(*) AS ids, count(*) FILTER (len(string_split(id, '#')) <> 2) AS failures, count(DISTINCT string_split(id, '#')[1]) AS taxa FROM i GROUP BY source""")
+def id_wellformed(spark, sf_dir):
+    ids = _t(spark, sf_dir, "customer").select(F.lit("customer").alias("source"), F.col("c_name").alias("id")).unionByName(
+        _t(spark, sf_dir, "supplier").select(F.lit("supplier").alias("source"), F.col("s_name").alias("id"))
+    )
+    return ids.groupBy("source").agg(F.count("*").alias("ids"), F.count_if(~C.well_formed(F.col("id"), "#")).alias("failures"), F.countDistinct(C.taxon(F.col("id"), "#")).alias("taxa"))
+
+
+@_query("SELECT doc_id, round((0.252e0 * n_chars - ln(0.035e0)) / ln(2e0), 6) AS bits FROM documents")
+def bit_score(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.round(C.bit_score(F.col("n_chars")), 6).alias("bits"))
+
+
+# distributions and placement --------------------------------------------------------------
+
+_R2 = """f AS (SELECT l_suppkey AS rec_id, year(l_shipdate) * 12 + month(l_shipdate) AS hmm_id, sum(l_quantity) AS fwd FROM lineitem GROUP BY 1, 2),
+r2 AS (SELECT a.rec_id AS rec_id1, b.rec_id AS rec_id2, round(pow(corr(a.fwd, b.fwd), 2), 9) AS r_square FROM f a JOIN f b ON a.hmm_id = b.hmm_id AND a.rec_id < b.rec_id GROUP BY 1, 2),
+m AS (SELECT s_suppkey AS id, s_nationkey AS cluster FROM supplier),
+ins AS (SELECT r.*, a.cluster FROM r2 r JOIN m a ON a.id = rec_id1 JOIN m b ON b.id = rec_id2 AND a.cluster = b.cluster),
+both AS (SELECT rec_id1 AS src, rec_id2 AS dst, r_square FROM r2 UNION ALL SELECT rec_id2, rec_id1, r_square FROM r2),
+means AS (SELECT src AS id, cluster, avg(r_square) AS mean FROM both JOIN m ON m.id = dst GROUP BY ALL)"""
+
+
+def _r2(spark, sf_dir) -> DataFrame:
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    forward = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("rec_id"), month.alias("hmm_id")).agg(F.sum("l_quantity").alias("fwd_raw"))
+    return placement.r_squared(forward).withColumn("r_square", F.round("r_square", 9))
+
+
+def _suppliers(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("cluster"), F.col("s_nationkey").alias("ord"))
+
+
+@_query(f"WITH {_R2} SELECT rec_id1, rec_id2, round(r_square, 6) AS r_square FROM r2 UNION ALL SELECT DISTINCT rec_id, rec_id, 1e0 FROM f")
+def r2_matrix(spark, sf_dir):
+    return _rounded(_r2(spark, sf_dir), "r_square")
+
+
+@_query(f"WITH {_R2} SELECT cluster, round(avg(r_square), 6) AS mu, round(stddev_pop(r_square), 6) AS sigma FROM ins GROUP BY cluster HAVING count(*) > 1")
+def cluster_null(spark, sf_dir):
+    return _rounded(placement.cluster_nulls(_r2(spark, sf_dir), _suppliers(spark, sf_dir)), "mu", "sigma")
+
+
+@_query(f"WITH {_R2} SELECT round(avg(r_square), 6) AS mu, round(stddev_pop(r_square), 6) AS sigma FROM ins")
+def global_null(spark, sf_dir):
+    return _rounded(placement.global_null(_r2(spark, sf_dir), _suppliers(spark, sf_dir)), "mu", "sigma")
+
+
+@_query(f"""WITH {_R2}, large AS (SELECT cluster FROM m GROUP BY cluster HAVING count(*) >= 3)
+SELECT round(avg(r_square), 6) AS mu, round(stddev_pop(r_square), 6) AS sigma FROM both JOIN m a ON a.id = src JOIN m b ON b.id = dst WHERE a.cluster <> b.cluster AND a.cluster IN (SELECT cluster FROM large)""")
+def out_of_cluster(spark, sf_dir):
+    return _rounded(placement.out_of_cluster(_r2(spark, sf_dir), _suppliers(spark, sf_dir)), "mu", "sigma")
+
+
+@_query(f"WITH {_R2} SELECT id, cluster, round(mean, 6) AS mean FROM means")
+def seq2group_mean(spark, sf_dir):
+    return _rounded(placement.group_means(_r2(spark, sf_dir), _suppliers(spark, sf_dir)), "mean")
+
+
+@_query(f"""WITH {_R2} SELECT id, cluster, round(mean, 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(mean, 12) DESC, cluster) AS r FROM means) WHERE r = 1""")
+def seq2group_best(spark, sf_dir):
+    members = _suppliers(spark, sf_dir)
+    return _rounded(placement.best_groups(placement.group_means(_r2(spark, sf_dir), members), members), "mean")
+
+
+@_query(f"""WITH {_R2}, b AS (SELECT id, max(round(mean, 12)) AS best FROM means GROUP BY id), s AS (SELECT cluster, count(*) AS size FROM m GROUP BY cluster)
+SELECT id, row_number() OVER (ORDER BY size, coalesce(best, 0) DESC, id)::INTEGER AS place FROM m JOIN s USING (cluster) LEFT JOIN b USING (id)""")
+def placement_order(spark, sf_dir):
+    members = _suppliers(spark, sf_dir)
+    return placement.placement_order(placement.group_means(_r2(spark, sf_dir), members), members)
+
+
+# comparison -------------------------------------------------------------------------------
+
+
+def _two(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = _t(spark, sf_dir, "embeddings")
+    cut = F.col("vec_id") % CLUSTERS
+    return (
+        rows.select(F.col("label").cast("long").alias("cluster"), F.col("label").cast("long").alias("ord"), F.col("vec_id").alias("id")),
+        rows.select(cut.alias("cluster"), cut.alias("ord"), F.col("vec_id").alias("id")),
+    )
+
+
+@_query("SELECT vec_id % 7 AS query, label::BIGINT AS true, count(*) AS n FROM embeddings GROUP BY ALL")
+def overlap_matrix(spark, sf_dir):
+    true, query = _two(spark, sf_dir)
+    return graph.overlaps(query, true).withColumnsRenamed({"left_cluster": "query", "right_cluster": "true"})
+
+
+@_query("""WITH m AS (SELECT vec_id AS id, label::BIGINT AS t, vec_id % 7 AS q FROM embeddings), ts AS (SELECT t, count(*) AS n FROM m GROUP BY t), qs AS (SELECT q, count(*) AS n FROM m GROUP BY q)
+SELECT q AS query, t AS true, round(2e0 * count(*) / (any_value(ts.n) + any_value(qs.n)), 6) AS match FROM m JOIN ts USING (t) JOIN qs USING (q) GROUP BY q, t""")
+def weighted_match(spark, sf_dir):
+    true, query = _two(spark, sf_dir)
+    return _rounded(graph.weighted_match(query, true), "match").withColumnsRenamed({"left_cluster": "query", "right_cluster": "true"})
+
+
+@_query("""WITH RECURSIVE o AS (SELECT vec_id % 7 AS q, label::BIGINT AS t, count(*) AS n FROM embeddings GROUP BY ALL),
+walk AS (SELECT -1::BIGINT AS q, []::BIGINT[] AS taken, NULL::BIGINT AS t, 0::BIGINT AS n UNION ALL
+  SELECT w.q + 1, CASE WHEN b.t IS NULL THEN w.taken ELSE list_append(w.taken, b.t) END, b.t, coalesce(b.n, 0) FROM walk w LEFT JOIN LATERAL
+    (SELECT o.t, o.n FROM o WHERE o.q = w.q + 1 AND NOT list_contains(w.taken, o.t) ORDER BY o.n DESC, o.t LIMIT 1) b ON true WHERE w.q < 6),
+r AS (SELECT w.n AS tp, (SELECT count(*) FROM embeddings WHERE vec_id % 7 = w.q) AS s, coalesce((SELECT count(*) FROM embeddings WHERE label = w.t), w.n) AS ts, (SELECT count(*) FROM embeddings)::DOUBLE AS total FROM walk w WHERE q >= 0),
+c AS (SELECT tp, s, s - tp AS fp, ts - tp AS fn, total - s - ts + tp AS tn, total FROM r)
+SELECT round(sum(s / total * tp / s), 6) AS precision, round(sum(s / total * CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END), 6) AS recall,
+round(sum(s / total * (tp + tn) / total), 6) AS accuracy, round(sum(s / total * tn / (tn + fp)), 6) AS tn_rate FROM c""")
+def compare_metrics(spark, sf_dir):
+    true, query = _two(spark, sf_dir)
+    return _rounded(compare.agreement(true, query), "precision", "recall", "accuracy", "tn_rate")
+
+
+# chains -----------------------------------------------------------------------------------
+
+_SAMPLES = """s AS (SELECT (user_id % 3)::INTEGER AS chain, event_id AS gen, value FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY gen) AS r, count(*) OVER (PARTITION BY chain) AS n FROM s),
+kept AS (SELECT chain, gen, value FROM k WHERE r > round_even(0.1e0 * n, 0))"""
+
+
+def _samples(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "events").select((F.col("user_id") % CHAINS).cast("int").alias("chain"), F.col("event_id").alias("gen"), F.lit("value").alias("variable"), "value")
+
+
+@_query(f"""WITH {_SAMPLES}, st AS (SELECT chain, avg(value) AS mean, var_samp(value) AS v, count(*) AS n FROM kept GROUP BY chain),
+w AS (SELECT avg(v) + 1e-7 / count(*) AS w, count(*) AS c FROM st),
+b AS (SELECT sum(d) AS d FROM (SELECT sum(pow(k.value - o.mean, 2)) / (any_value(x.n) - 1) AS d FROM kept k JOIN st x ON x.chain = k.chain JOIN st o ON o.chain <> k.chain GROUP BY k.chain, o.chain))
+SELECT round(w, 4) AS within, round(d / (c * (c - 1)), 4) AS between, round(sqrt(2e0 / 3 + d / (c * (c - 1)) / (3 * w)), 6) AS psrf FROM w, b""")
+def psrf(spark, sf_dir):
+    out = mcmc.psrf(_samples(spark, sf_dir))
+    return out.select(F.round("within", 4).alias("within"), F.round("between", 4).alias("between"), F.round("psrf", 6).alias("psrf"))
+
+
+@_query(f"WITH {_SAMPLES} SELECT chain, count(*) AS n, min(gen) AS first_gen FROM kept GROUP BY chain")
+def burn_in(spark, sf_dir):
+    return mcmc.after_burn_in(_samples(spark, sf_dir)).groupBy("chain").agg(F.count("*").alias("n"), F.min("gen").alias("first_gen"))
+
+
+@_query("""SELECT chain, gen, value FROM (SELECT (user_id % 3)::INTEGER AS chain, event_id AS gen, value, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id DESC) AS r FROM events) WHERE r <= 1000""")
+def history_1000(spark, sf_dir):
+    return mcmc.last_scores(_samples(spark, sf_dir)).select("chain", "gen", "value")
+
+
+# workers ----------------------------------------------------------------------------------
+
+
+@_query("""SELECT user_id AS thread_id, max(ts) AS pulse, max(ts) > (SELECT max(ts) FROM events) - INTERVAL 12 HOUR AS alive FROM events GROUP BY user_id""")
+def heartbeat_live(spark, sf_dir):
+    return heartbeat.liveness(heartbeat.pulses(_t(spark, sf_dir, "events")), 12 * 3600)
+
+
+@_query("""SELECT user_id AS thread_id FROM events GROUP BY user_id HAVING max(ts) <= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR""")
+def dead_threads(spark, sf_dir):
+    return heartbeat.liveness(heartbeat.pulses(_t(spark, sf_dir, "events")), 12 * 3600).filter("not alive").select("thread_id")
+
+
+@_query("""SELECT event_type AS thread_type, count(*) AS pulses, count(DISTINCT user_id) AS threads, min(ts) AS first_pulse, max(ts) AS last_pulse FROM events GROUP BY event_type""")
+def monitor_counts(spark, sf_dir):
+    return heartbeat.monitor(heartbeat.pulses(_t(spark, sf_dir, "events")))
+
+
+@_query("""WITH w AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS workers, count(*) FILTER (event_type = 'view') AS jobs FROM events GROUP BY user_id)
+SELECT user_id AS thread_id, greatest(workers - jobs, 0) AS idle FROM w""")
+def idle_workers(spark, sf_dir):
+    per = heartbeat.pulses(_t(spark, sf_dir, "events")).groupBy("thread_id").agg(F.count_if(F.col("thread_type") == "click").alias("w"), F.count_if(F.col("thread_type") == "view").alias("j"))
+    return per.select("thread_id", F.greatest(F.col("w") - F.col("j"), F.lit(0)).alias("idle"))
+
+
+@_query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type AS thread_type, count(*) AS pulses FROM events GROUP BY ALL""")
+def tumbling_heartbeats(spark, sf_dir):
+    return heartbeat.per_hour(heartbeat.pulses(_t(spark, sf_dir, "events")))
+
+
+@_query("""WITH h AS (SELECT concat(md5(o_orderpriority), CASE WHEN o_orderkey % 3 = 0 THEN concat('_', o_orderkey, '_of_3') ELSE '' END) AS hash, o_orderstatus AS state FROM orders)
+SELECT state, count(*) FILTER (hash NOT LIKE '%^_%' ESCAPE '^') AS jobs, count(*) FILTER (hash LIKE '%^_%' ESCAPE '^') AS subjobs FROM h GROUP BY state""")
+def queue_subjob_split(spark, sf_dir):
+    tail = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("_"), F.col("o_orderkey").cast("string"), F.lit("_of_3"))).otherwise("")
+    hashes = _t(spark, sf_dir, "orders").select(F.concat(F.md5("o_orderpriority"), tail).alias("hash"), F.col("o_orderstatus").alias("state"))
+    sub = F.expr("hash LIKE '%^_%' ESCAPE '^'")
+    return hashes.groupBy("state").agg(F.count_if(~sub).alias("jobs"), F.count_if(sub).alias("subjobs"))
+
+
+@_query("SELECT o_custkey, count(*) AS orders FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey")
+def orphan_jobs(spark, sf_dir):
+    waiting = _t(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return _t(spark, sf_dir, "orders").join(waiting, "o_custkey", "left_anti").groupBy("o_custkey").agg(F.count("*").alias("orders"))
+
+
+@_query("""WITH old AS (SELECT md5(c_name) AS hash, c_acctbal AS score FROM customer WHERE c_custkey % 2 = 0), new AS (SELECT md5(c_name) AS hash, -c_acctbal AS score FROM customer)
+SELECT * FROM old UNION ALL SELECT * FROM new WHERE hash NOT IN (SELECT hash FROM old)""")
+def cache_upsert(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer")
+    old = rows.filter("c_custkey % 2 = 0").select(F.md5("c_name").alias("hash"), F.col("c_acctbal").alias("score"))
+    new = rows.select(F.md5("c_name").alias("hash"), (-F.col("c_acctbal")).alias("score"))
+    return old.unionByName(new.join(old.select("hash"), "hash", "left_anti"))
+
+
+@_query("""SELECT p_size, l_tax, o_orderpriority, r::INTEGER AS replicate FROM (SELECT DISTINCT p_size FROM part), (SELECT DISTINCT l_tax FROM lineitem), (SELECT DISTINCT o_orderpriority FROM orders), range(3) t(r)""")
+def param_grid(spark, sf_dir):
+    axes = [_t(spark, sf_dir, t).select(c).distinct().withColumn("_1", F.lit(1)) for t, c in (("part", "p_size"), ("lineitem", "l_tax"), ("orders", "o_orderpriority"))]
+    grid = axes[0].join(axes[1], "_1").join(axes[2], "_1")
+    return grid.select("p_size", "l_tax", "o_orderpriority", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("replicate"))
+
+
+@_query("""SELECT n_name AS cluster, string_agg(regexp_replace(s_name, '^.*?#', ''), ' ' ORDER BY s_name) AS line FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name HAVING count(*) >= 2""")
+def group_export_list(spark, sf_dir):
+    from graphloom.sources.clusters import group_lines
+
+    nations = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("cluster"))
+    members = _t(spark, sf_dir, "supplier").join(nations, "s_nationkey").select("cluster", F.col("s_name").alias("id"))
+    lines = group_lines(members, min_size=2)
+    return lines.select("cluster", F.array_join(F.transform("ids", lambda x: F.regexp_replace(x, "^.*?#", "")), " ").alias("line"))
+
+
+@_query("""SELECT concat('group_', s_nationkey) AS cluster, s_suppkey::VARCHAR AS id FROM supplier""")
+def cluster_file_parse(spark, sf_dir):
+    from graphloom.sources.clusters import parsed_lines
+
+    ids = _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.col("s_suppkey").cast("string")).alias("ids"), F.round(F.avg("s_acctbal"), 4).alias("score"))
+    lines = ids.select(F.concat(F.lit("group_"), F.col("s_nationkey").cast("string"), F.lit("\t"), F.col("score").cast("string"), F.lit("\t"), F.array_join("ids", "\t")).alias("value"))
+    return parsed_lines(lines).select("cluster", "id")
