@@ -68,7 +68,7 @@ pairs AS (
   FROM v a JOIN v b ON a.id < b.id),
 edges AS (SELECT *, round(0.3e0 * psi + 0.7e0 * subsmat, 9) AS raw_score FROM pairs),
 near AS (SELECT * FROM edges WHERE subsmat >= 0.25e0),
-both AS (SELECT seq1 AS src, seq2 AS dst, * EXCLUDE (seq1, seq2) FROM edges UNION ALL SELECT seq2, seq1, * EXCLUDE (seq1, seq2) FROM edges)"""
+ways AS (SELECT seq1 AS src, seq2 AS dst, * EXCLUDE (seq1, seq2) FROM edges UNION ALL SELECT seq2, seq1, * EXCLUDE (seq1, seq2) FROM edges)"""
 
 
 # pairs and scores -------------------------------------------------------------------------
@@ -122,7 +122,7 @@ def cut_edges(spark, sf_dir):
     return _rounded(graph.cut(_edges(spark, sf_dir, NEAR), ids), "subsmat").select("seq1", "seq2", "subsmat")
 
 
-@_query(f"""WITH {_PAIRS} SELECT src, dst, round(raw_score, 6) AS raw_score FROM both JOIN v ON v.id = src AND v.taxon = 0 WHERE subsmat >= 0.25e0""")
+@_query(f"""WITH {_PAIRS} SELECT src, dst, round(raw_score, 6) AS raw_score FROM ways JOIN v ON v.id = src AND v.taxon = 0 WHERE subsmat >= 0.25e0""")
 def incident_edges(spark, sf_dir):
     at = graph.incident(_edges(spark, sf_dir, NEAR), _nodes(spark, sf_dir).filter("taxon = 0"))
     return _rounded(at, "raw_score").select("src", "dst", "raw_score")
@@ -137,7 +137,7 @@ def dropped_nodes(spark, sf_dir):
 
 # best hits --------------------------------------------------------------------------------
 
-_HITS = "hits AS (SELECT src, dst, raw_score FROM (SELECT *, rank() OVER (PARTITION BY src ORDER BY raw_score DESC) AS r FROM both) WHERE r = 1)"
+_HITS = "hits AS (SELECT src, dst, raw_score FROM (SELECT *, rank() OVER (PARTITION BY src ORDER BY raw_score DESC) AS r FROM ways) WHERE r = 1)"
 
 
 @_query(f"WITH {_PAIRS}, {_HITS} SELECT src, dst, round(raw_score, 6) AS raw_score FROM hits")
@@ -364,8 +364,8 @@ _R2 = """f AS (SELECT l_suppkey AS rec_id, year(l_shipdate) * 12 + month(l_shipd
 r2 AS (SELECT a.rec_id AS rec_id1, b.rec_id AS rec_id2, round(pow(corr(a.fwd, b.fwd), 2), 9) AS r_square FROM f a JOIN f b ON a.hmm_id = b.hmm_id AND a.rec_id < b.rec_id GROUP BY 1, 2),
 m AS (SELECT s_suppkey AS id, s_nationkey AS cluster FROM supplier),
 ins AS (SELECT r.*, a.cluster FROM r2 r JOIN m a ON a.id = rec_id1 JOIN m b ON b.id = rec_id2 AND a.cluster = b.cluster),
-both AS (SELECT rec_id1 AS src, rec_id2 AS dst, r_square FROM r2 UNION ALL SELECT rec_id2, rec_id1, r_square FROM r2),
-means AS (SELECT src AS id, cluster, avg(r_square) AS mean FROM both JOIN m ON m.id = dst GROUP BY ALL)"""
+ways AS (SELECT rec_id1 AS src, rec_id2 AS dst, r_square FROM r2 UNION ALL SELECT rec_id2, rec_id1, r_square FROM r2),
+means AS (SELECT src AS id, cluster, avg(r_square) AS mean FROM ways JOIN m ON m.id = dst GROUP BY ALL)"""
 
 
 def _r2(spark, sf_dir) -> DataFrame:
@@ -394,7 +394,7 @@ def global_null(spark, sf_dir):
 
 
 @_query(f"""WITH {_R2}, large AS (SELECT cluster FROM m GROUP BY cluster HAVING count(*) >= 3)
-SELECT round(avg(r_square), 6) AS mu, round(stddev_pop(r_square), 6) AS sigma FROM both JOIN m a ON a.id = src JOIN m b ON b.id = dst WHERE a.cluster <> b.cluster AND a.cluster IN (SELECT cluster FROM large)""")
+SELECT round(avg(r_square), 6) AS mu, round(stddev_pop(r_square), 6) AS sigma FROM ways JOIN m a ON a.id = src JOIN m b ON b.id = dst WHERE a.cluster <> b.cluster AND a.cluster IN (SELECT cluster FROM large)""")
 def out_of_cluster(spark, sf_dir):
     return _rounded(placement.out_of_cluster(_r2(spark, sf_dir), _suppliers(spark, sf_dir)), "mu", "sigma")
 

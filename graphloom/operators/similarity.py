@@ -18,7 +18,8 @@ PROFILE_SHARE, MATRIX_SHARE = 0.3, 0.7
 
 
 def _pair_scores(least: float | None):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["is_left"]], rows[~rows["is_left"]]
         if left.empty or right.empty:
             return pd.DataFrame({"seq1": [], "seq2": [], "subsmat": [], "psi": []})
         x, y = np.stack(left["vec"].to_numpy()).astype(float), np.stack(right["vec"].to_numpy()).astype(float)
@@ -48,13 +49,10 @@ def vector_pairs(vectors: DataFrame, least: float | None = None, block: int = BL
     count = max(1, -(-vectors.count() // block))
     rows = vectors.select("id", F.col("vec"), F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("at"))
     every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = rows.select("id", "vec", F.col("at").alias("i"), every.alias("j"))
-    right = rows.select("id", "vec", F.col("at").alias("j"), every.alias("i"))
+    left = rows.select("id", "vec", F.col("at").alias("i"), every.alias("j")).withColumn("is_left", F.lit(True))
+    right = rows.withColumn("i", every).select("id", "vec", "i", F.col("at").alias("j")).withColumn("is_left", F.lit(False))
     kind = vectors.schema["id"].dataType.simpleString()
-    return (
-        left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
-        .applyInPandas(_pair_scores(least), f"seq1 {kind}, seq2 {kind}, subsmat double, psi double")
-    )
+    return left.unionByName(right).groupBy("i", "j").applyInPandas(_pair_scores(least), f"seq1 {kind}, seq2 {kind}, subsmat double, psi double")
 
 
 def with_final_scores(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
