@@ -36,8 +36,8 @@ CAPACITY = 4096
 END_ID = 1
 SALTS = 64
 #: Texts tokenised at a time, in bytes, and words whose ids a worker remembers.
-CHUNK_BYTES = 4 << 20
-REMEMBERED = 200_000
+CHUNK_BYTES = 8 << 20
+REMEMBERED = 600_000
 
 _tokenizers: dict = {}
 
@@ -49,45 +49,73 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _WordIds:
-    """Ids of white-space-free words; a tokenizer that never joins across white space gives a text's ids word by word."""
+class _Known:
+    """Ids of strings that a worker has tokenised, in one array, by the string's number.
+
+    The tokenizer never joins across white space, treats a run of letters and the run of
+    marks behind it apart, and lower-cases letter by letter; so a text's ids follow from
+    those of its words, and those of a plain word from its letters in lower case and its
+    marks.  Plain is: Latin letters up to U+00FF, then ASCII marks without the apostrophe.
+    Any other word is tokenised as it stands.
+    """
+
+    PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.sizes, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        self.add([""], [[]])
+        self.end = self.add([None], [[END_ID]])
+
+    def add(self, strings: list, ids: list) -> int:
+        first = len(self.numbers)
+        self.numbers.update(zip(strings, range(first, first + len(strings)), strict=True))
+        self.sizes = np.concatenate([self.sizes, [len(x) for x in ids]])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), dtype=np.uint32)])
+        return first
 
-    def of(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype=np.uint32)
-        return [self.known[w] for w in words]
+    def numbered(self, strings: list[str]) -> np.ndarray:
+        new = [w for w in strings if w not in self.numbers]
+        if new:
+            self.add(new, [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        return np.fromiter(map(self.numbers.__getitem__, strings), dtype=np.int64, count=len(strings))
 
 
-def _ids(texts: pa.Array, words: _WordIds) -> tuple[np.ndarray, np.ndarray]:
+def _ids(texts: pa.Array, known: _Known) -> tuple[np.ndarray, np.ndarray]:
     """All ids of some texts, each text's followed by the end id, and where each text ends."""
+    if len(known.numbers) > REMEMBERED:
+        known.forget()
     split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
-    ids = words.of(coded.dictionary.to_pylist())
-    sizes = np.array([len(x) for x in ids] + [1], dtype=np.int64)
-    flat = np.concatenate([*ids, np.array([END_ID], dtype=np.uint32)])
-    starts = np.cumsum(sizes) - sizes
+    words = coded.dictionary
+    parts = pc.extract_regex(words, known.PLAIN)
+    plain = parts.is_valid().to_numpy(zero_copy_only=False)
+    numbers = np.zeros((len(words) + 1, 2), dtype=np.int64)
+    for column, strings in enumerate((pc.utf8_lower(pc.struct_field(parts, 0)), pc.struct_field(parts, 1))):
+        own = strings.filter(pa.array(plain)).dictionary_encode()
+        numbers[:-1, column][plain] = known.numbered(own.dictionary.to_pylist())[own.indices.to_numpy()]
+    numbers[:-1, 0][~plain] = known.numbered(words.filter(pa.array(~plain)).to_pylist())
+    numbers[-1, 0] = known.end
     ends = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    use = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(ids))
-    n = sizes[use]
-    out = flat[np.repeat(starts[use] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    return out, np.cumsum(n)[ends + np.arange(len(ends))]
+    use = numbers[np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(words))].ravel()
+    n = known.sizes[use]
+    starts = (np.cumsum(known.sizes) - known.sizes)[use]
+    stops = np.cumsum(n)
+    out = known.ids[np.repeat(starts - (stops - n), n) + np.arange(stops[-1])]
+    return out, stops[1::2][ends + np.arange(len(ends))]
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tokenizers:
-            _tokenizers[path] = _WordIds(path)
+            _tokenizers[path] = _Known(path)
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string()).fill_null("")
             bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
