@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.functions.staging import stage
+from graphloom.jobs import orthogroups as orthogroup_job
 from graphloom.operators import compare, graph, mcl, mcmc, placement, scoring, similarity
 from graphloom.streaming import heartbeat
 
@@ -300,6 +301,14 @@ def mcl_clusters_by_taxon(spark, sf_dir):
     return mcl.clusters_by_group(graphs)
 
 
+@_query()
+def orthogroups(spark, sf_dir):
+    members = _nodes(spark, sf_dir).select("id", "taxon")
+    edges = stage(similarity.vector_pairs(_vectors(spark, sf_dir)), "edges")
+    groups = stage(orthogroup_job.orthogroups(members, edges, draws=8), "groups")
+    return _rounded(orthogroup_job.scored_groups(groups, members), "score")
+
+
 # aligned texts and profiles ---------------------------------------------------------------
 
 

@@ -1,0 +1,30 @@
+"""One small Spark session for all tests."""
+
+from __future__ import annotations
+
+import os
+import sys
+
+import pytest
+
+HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH", "")]))
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    from pyspark.sql import SparkSession
+
+    base = tmp_path_factory.mktemp("spark")
+    builder = (
+        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", str(base)).config("spark.sql.warehouse.dir", str(base / "warehouse"))
+        .config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false")
+    )
+    session = builder.getOrCreate()
+    if session.conf.get("spark.checkpoint.dir", None) is None:
+        session.conf.set("spark.checkpoint.dir", str(base / "checkpoints"))
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
