@@ -28,4 +28,44 @@ SELECT p.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_i
 FROM parts p LEFT JOIN sizes USING (doc_id)
 """
 
-ORACLES = {"op2_bbit_minhash": OP2}
+OP4 = """
+WITH d AS (
+  SELECT doc_id, source, len([x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''])::BIGINT AS size,
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS ticket
+  FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
+w AS (SELECT source, source_size, [3, 1, 2][(r - 1) % 3 + 1] AS weight, 2 * source_size AS cap FROM s),
+l AS (
+  SELECT *, row_number() OVER o AS pos,
+    (sum(source_size) OVER () * 1.5e0 - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
+), f AS (SELECT min(pos) AS pos, arg_min(level, pos) AS water FROM l WHERE level * weight <= cap),
+t AS (SELECT l.source, source_size, CASE WHEN f.pos IS NULL OR l.pos < f.pos THEN cap::DOUBLE ELSE water * weight END AS target FROM l, f),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
+c AS (
+  SELECT d.doc_id, d.size, source_size, target, whole, floor(target - whole * source_size + 0.5e0)::BIGINT AS extra,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ticket, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, extra - before)))::BIGINT AS taken FROM c
+"""
+
+OP7 = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), l AS (
+  SELECT *, 12 + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|', '&#124;'))
+    + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + 1 AS chars
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id
+"""
+
+ORACLES = {"op2_bbit_minhash": OP2, "op4_water_filling": OP4, "op7_prefix_target": OP7}
