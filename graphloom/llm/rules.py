@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 14
 TARGET_DOCS = 20_000
 SMOOTHING = 1.0
-THRESHOLD = -0.1
+THRESHOLD = -0.065
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
