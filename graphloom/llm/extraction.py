@@ -9,7 +9,7 @@ Training pages label themselves: where a page has an ``article`` or ``main`` ele
 blocks inside it, outside anything marked as boilerplate, are main text.  At most
 ``TRAIN_PAGES`` such pages are used, in the order of a digest of their id, each of
 them also in altered versions: with neutral containers in place of the telling tags,
-and with blocks of the page's own boilerplate put into marked sidebars, notices, forms
+with main text in lists, quotes and tables, and with blocks of the page's own boilerplate put into marked sidebars, notices, forms
 and comment sections.  So the field also learns what pages of other make need.
 """
 
@@ -169,6 +169,14 @@ def _variants(blocks: list[Block], y: list[int], seed: int) -> Iterator[tuple[li
             out.append(Block(b.text, tags, (b.marks | mark) if named else b.marks, b.leaf, b.linked))
             labels.append(label)
         yield out, labels
+    shapes = (("li", {"ul", "li"}), ("blockquote", {"blockquote"}), ("h2", {"h2"}), ("td", {"table", "td"}), ("pre", {"pre"}))
+    out = []
+    for b, label in zip(blocks, y, strict=True):  # main text in lists, quotes, tables and subheadings
+        if label and rng.random() < 0.5:
+            leaf, tags = shapes[int(rng.integers(len(shapes)))]
+            b = Block(b.text[: int(rng.integers(12, 200))], (b.tags - {"p"}) | tags, b.marks, leaf, 0)
+        out.append(b)
+    yield out, y
     spare = [b for b, label in zip(blocks, y, strict=True) if not label] or blocks
     main = [b for b, label in zip(blocks, y, strict=True) if label]
     first = y.index(1) if 1 in y else 0
