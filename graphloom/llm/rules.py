@@ -24,7 +24,8 @@ SYMBOLS = "#*$%&|<>"
 
 def words_of(text: Column) -> Column:
     """The words of a text; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda x: x != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(F.length(inner) > 0, F.split(inner, SPACE)).otherwise(F.array().cast("array<string>"))
 
 
 def _bound(value: Column, body) -> Column:
@@ -32,43 +33,52 @@ def _bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def ngram_buckets(words: Column) -> Column:
-    """Buckets of every word and every pair of neighbouring words."""
-    single = F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    pairs = F.zip_with(
-        words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))),
-        lambda x, y: F.when(y.isNotNull(), F.pmod(F.xxhash64(x, y), F.lit(BUCKETS)).cast("int")),
-    )
-    return F.concat(single, F.filter(pairs, lambda x: x.isNotNull()))
+def hashed_words(text: Column) -> Column:
+    """64-bit hashes of the words of a text: words, pairs and windows are all told apart by these."""
+    return F.transform(words_of(text), lambda x: F.xxhash64(x))
+
+
+def single_bucket(x: Column) -> Column:
+    return F.pmod(x, F.lit(BUCKETS)).cast("int")
+
+
+def pair_buckets(hashes: Column) -> Column:
+    """Bucket of every pair of neighbouring words; the last word has none and gives a null."""
+    after = F.slice(hashes, 2, F.greatest(F.size(hashes), F.lit(1)))
+    return F.zip_with(hashes, after, lambda x, y: F.when(y.isNotNull(), F.pmod(F.xxhash64(x, y), F.lit(BUCKETS)).cast("int")))
+
+
+def ngram_buckets(hashes: Column) -> Column:
+    """Buckets of every word and every pair of neighbouring words, and one null."""
+    return F.concat(F.transform(hashes, single_bucket), pair_buckets(hashes))
 
 
 def repeated_words(words: Column, window: int = 3) -> Column:
-    """Words that lie in a window of ``window`` words found twice or more in the text."""
+    """Of hashed words, those that lie in a window of ``window`` words found twice or more in the text."""
 
     def hashed(w: Column) -> Column:
         starts = F.when(F.size(w) >= window, F.sequence(F.lit(0), F.size(w) - window)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.xxhash64(*[w[i + k] for k in range(window)]))
 
-    def covered(h: Column) -> Column:
-        marked = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        # walk equal hashes side by side and keep the places of those with an equal neighbour
-        start = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(-1).alias("i"), F.lit(False).alias("kept"), F.array().cast("array<int>").alias("at"))
+    def following(x: Column) -> Column:
+        return F.slice(x, 2, F.greatest(F.size(x), F.lit(1)))
 
-        def step(acc: Column, x: Column) -> Column:
-            same = F.coalesce(acc["h"] == x["h"], F.lit(False))
-            more = F.when(same & ~acc["kept"], F.array(acc["i"], x["i"])).when(same, F.array(x["i"])).otherwise(F.array().cast("array<int>"))
-            return F.struct(x["h"].alias("h"), x["i"].alias("i"), same.alias("kept"), F.concat(acc["at"], more).alias("at"))
+    def covered(h: Column) -> Column:
+        def places(s: Column) -> Column:
+            # sorted by hash, a window is repeated if its neighbour on either side is equal
+            same = F.zip_with(s, following(s), lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False)))
 
-        return F.aggregate(marked, start, step, lambda acc: acc["at"])
+            def marked(e: Column) -> Column:
+                either = F.zip_with(e, F.concat(F.array(F.lit(False)), e), lambda x, y: F.coalesce(x, F.lit(False)) | y)
+                return F.filter(F.zip_with(s, either, lambda x, y: F.when(y, x["i"])), lambda i: i.isNotNull())
 
-    def union_length(places: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+            return _bound(same, marked)
 
-        def step(acc: Column, p: Column) -> Column:
-            end = p + window
-            return F.struct((acc["n"] + (end - F.greatest(p, acc["end"]))).cast("long").alias("n"), end.alias("end"))
+        return _bound(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), places)
 
-        return F.aggregate(F.array_sort(places), start, step, lambda acc: acc["n"])
+    def union_length(at: Column) -> Column:
+        steps = lambda p: F.zip_with(p, following(p), lambda x, y: F.least(F.lit(window), F.coalesce(y - x, F.lit(window))))
+        return F.aggregate(_bound(F.array_sort(at), steps), F.lit(0).cast("long"), lambda acc, x: acc + x)
 
     def count(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(union_length(covered(h)))
@@ -83,22 +93,20 @@ def judged(text: Column, ratios: Column, threshold: float) -> Column:
     moves it, splits a text more than once per use of the struct.
     """
 
-    def mean(buckets: Column) -> Column:
-        total = F.aggregate(buckets, F.lit(0.0), lambda acc, x: acc + ratios[x])
-        return F.when(F.size(buckets) > 0, total / F.size(buckets))
+    def mean(hashes: Column) -> Column:
+        singles = F.aggregate(hashes, F.lit(0.0), lambda acc, x: acc + ratios[single_bucket(x)])
+        pairs = F.aggregate(pair_buckets(hashes), F.lit(0.0), lambda acc, x: acc + F.coalesce(ratios[x], F.lit(0.0)))
+        return F.when(F.size(hashes) > 0, (singles + pairs) / (2 * F.size(hashes) - 1))
 
-    def measures(words: Column) -> Column:
-        return F.struct(
-            F.size(words).cast("long").alias("n_words"), repeated_words(words).alias("n_repeat_words"),
-            _bound(ngram_buckets(words), mean).alias("score"),
-        )
+    def measures(hashes: Column) -> Column:
+        return F.struct(F.size(hashes).cast("long").alias("n_words"), repeated_words(hashes).alias("n_repeat_words"), mean(hashes).alias("score"))
 
     def verdict(m: Column) -> Column:
         failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
         kept = ~failed & F.coalesce(m["score"] >= threshold, F.lit(False))
         return F.struct(m["n_words"].alias("n_words"), m["n_repeat_words"].alias("n_repeat_words"), m["score"].alias("score"), failed.alias("base_failed"), kept.alias("kept"))
 
-    return _bound(_bound(words_of(text), measures), verdict)
+    return _bound(_bound(hashed_words(text), measures), verdict)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -112,7 +120,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text").join(
         F.broadcast(chosen.withColumn("trusted", F.lit(1))), "doc_id", "left"
     )
-    grams = marked.select(F.explode(_bound(words_of(F.col("text")), ngram_buckets)).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    grams = marked.select(F.explode(_bound(hashed_words(F.col("text")), ngram_buckets)).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    grams = grams.filter(F.col("bucket").isNotNull())
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
     rows = every.agg(
