@@ -120,7 +120,8 @@ def mix_documents(docs: DataFrame, seed: str = SEED, **rates) -> DataFrame:
     input has that column.
     """
     columns = docs.columns
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("ticket", ticket(F.col("doc_id"), seed))
+    # input columns travel in a struct, so none can clash with a name used here
+    sized = docs.select(F.struct(*columns).alias("row"), "source", "doc_id", "text", word_count(F.col("text")).alias("size"), ticket(F.col("doc_id"), seed).alias("ticket"))
     plan = mix_plan(stage(sized.select("source", "size", "ticket"), "sized"), **rates)
     taken = take(sized, plan)
     # an empty document costs no words and is kept once
@@ -130,7 +131,7 @@ def mix_documents(docs: DataFrame, seed: str = SEED, **rates) -> DataFrame:
     rows = taken.withColumn("words", F.explode(copies))
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
     text = F.when(F.col("words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest("words", F.lit(1))), " "))
-    rows = rows.withColumn("text", text)
+    out = {c: F.col("row")[c] for c in columns} | {"text": text}
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("words") < 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*columns)
+        out["n_chars"] = F.when(F.col("words") < 0, F.col("row")["n_chars"]).otherwise(F.length(text).cast("long"))
+    return rows.select(*[out[c].alias(c) for c in columns])

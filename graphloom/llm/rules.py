@@ -149,10 +149,11 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     columns = [x for x in docs.columns if x not in added]
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    rows = docs.select(*columns).withColumn("ratios", log_ratios(docs, trusted).scalar())
+    # input columns travel in a struct, so none can clash with a name used here
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text")).withColumn("ratios", log_ratios(docs, trusted).scalar())
     rows = rows.withColumn("rules", judged(F.col("text"), F.col("ratios"), threshold))
     return rows.select(
-        *columns, "rules.n_words", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        *[F.col("row")[c].alias(c) for c in columns], "rules.n_words", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         "rules.n_repeat_words", "rules.base_failed", "rules.score", "rules.kept",

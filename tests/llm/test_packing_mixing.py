@@ -140,13 +140,14 @@ def test_mix(spark):
 def test_mixed_documents(spark):
     rows = _mixed_rows()
     words = lambda t: len([x for x in (t or "").replace("\t", " ").replace("\x0b", " ").split(" ") if x])
-    docs = _docs(spark, rows).drop("size")
+    docs = _docs(spark, rows)
     taken = {}
     for r in mixing.mix_sizes(docs).collect():
         taken.setdefault(r["doc_id"], []).append(r["taken"])
     out = mixing.mix_documents(docs)
     assert out.columns == docs.columns
     got = defaultdict(int)
+    assert {r["size"] for r in out.collect()} == {"clash", "x"}
     for r in out.collect():
         got[r["doc_id"]] += words(r["text"])
     assert {k: v for k, v in got.items() if v} == {k: sum(v) for k, v in taken.items() if sum(v)}

@@ -38,12 +38,13 @@ def _rule_texts():
 def test_base_counts(spark):
     good, bad, odd = _rule_texts()
     texts = good + bad + odd
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, score int")
+    docs = spark.createDataFrame([(i, t, 1, i, "r") for i, t in enumerate(texts)], "doc_id long, text string, score int, rules long, ratios string")
     trusted = spark.createDataFrame([(i,) for i in range(len(good))], "doc_id long")
     rows = {r["doc_id"]: r for r in rules.quality_rules(docs, trusted).collect()}
     assert len(rows) == len(texts)
     for i, t in enumerate(texts):
         t, w, r = t or "", _words(t), rows[i]
+        assert (r["rules"], r["ratios"]) == (i, "r")
         windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
         seen = Counter(windows)
         marked = {k + d for k, x in enumerate(windows) if seen[x] > 1 for d in range(3)}
