@@ -29,7 +29,7 @@ def op4_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_contextual_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = privacy.annotate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = privacy.annotate(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     counts = [privacy.count_of(kind, "base").alias(f"n_{kind}") for kind in privacy.KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(privacy.joined_spans("base"), 256).alias("base_sha256"), privacy.joined_spans("spans").alias("spans"))
 

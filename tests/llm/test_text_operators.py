@@ -130,9 +130,10 @@ def test_contexts_find_unknown_identifiers(spark):
     rng = random.Random(2)
     key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
     texts = [f'words token = "{key()}" words' for _ in range(12)] + ['say token = "Zk9_secret-77" now'] + [f"name: value{k}x" for k in range(20)] + ["mail a@b.cd x", "", None, "name: a1b2c3d4"]
-    docs = spark.createDataFrame([(i, t, [1]) for i, t in enumerate(texts)], "doc_id long, text string, spans array<int>")
+    docs = spark.createDataFrame([(i, t, [1], "p", i) for i, t in enumerate(texts)], "doc_id long, text string, spans array<int>, places string, row_id long")
     rows = {r["doc_id"]: r for r in privacy.annotate(docs).collect()}
     assert len(rows) == len(texts)
+    assert all((r["places"], r["row_id"]) == ("p", i) for i, r in rows.items())
     assert [(s["kind"], texts[12][s["start"] : s["end"]]) for s in rows[12]["spans"]] == [("ident", "Zk9_secret-77")]
     assert not any(rows[i]["spans"] for i in range(13, 33))
     assert [tuple(s) for s in rows[33]["spans"]] == [("email", 5, 11)]
