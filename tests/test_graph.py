@@ -144,10 +144,12 @@ def test_truncated_pdf(spark):
 
 def test_variable_draws():
     v = mcmc.Variable("foo", 2, 5, seed=1)
+    assert v.current == v.draw == 2.403092732337
+    draws = [v.propose(0.1) for _ in range(200)]
+    assert all(2 <= d <= 5 for d in draws)
     assert v.current == 2.403092732337
-    v = mcmc.Variable("foo", 2, 5, seed=1)
-    v.random.random()
-    assert v.random is not None
+    v.accept()
+    assert v.current == draws[-1]
     with pytest.raises(ValueError, match="lower bound"):
         mcmc.Variable("foo", 5, 2)
 
