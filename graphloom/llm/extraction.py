@@ -205,7 +205,9 @@ def _variants(blocks: list[Block], y: list[int], seed: int) -> Iterator[tuple[li
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> ChainCRF:
     """The field fitted to pages that label themselves: at most ``train_pages`` reach the driver."""
     telling = pages.filter(F.col("html").rlike("<(article|main)[\\s>]")).select("page_id", "html")
-    rows = telling.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(train_pages).collect()
+    # ids first, so that no task sends more than ids to be ordered
+    chosen = telling.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).distinct()
+    rows = telling.join(F.broadcast(chosen), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect()
     x, y, lengths = [], [], []
     for r in rows:
         blocks = page_blocks(r["html"])
