@@ -13,7 +13,10 @@ over as many tasks as it has pairs of blocks.
 Misses: a pair at cosine 0.95 lies in one window of a pass over N classes with
 probability about 0.9^log2(N / WINDOW); at 50,000 classes 16 passes miss one such
 pair in a thousand, and far fewer above 0.97.  :func:`passes_for` gives the passes
-that a table of another size needs.
+that a table of another size needs; the query takes those, ``PASSES`` at least.  In a
+dense region windows fill with vectors that are no links, so jobs of
+``PASSES_PER_JOB`` more passes follow until ``QUIET_JOBS`` successive ones join no two
+components.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from graphloom.operators.components import connected_components
 THRESHOLD = 0.95
 PASSES = 16
 PASSES_PER_JOB = 4
+QUIET_JOBS = 2
 WINDOW = 64
 BLOCK = 1024
 SEED = 11
@@ -62,11 +66,11 @@ def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarra
             yield part, _matrix(part.column("embedding"))
 
 
-def _keyed(passes: int, seed: int):
+def _keyed(passes: int, seed: int | list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, x in _by_width(batch):
-                planes = np.random.default_rng([seed, x.shape[1]]).normal(size=(x.shape[1], passes * 64))
+                planes = np.random.default_rng([*np.atleast_1d(seed), x.shape[1]]).normal(size=(x.shape[1], passes * 64))
                 bits = np.packbits(x @ planes >= 0, axis=1)
                 keys = bits.reshape(len(x), passes, 8).copy().view(">u8")[:, :, 0].astype(np.uint64) ^ np.uint64(1 << 63)
                 ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * passes)
@@ -134,14 +138,15 @@ def _counts(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vec_id, embedding``.
 
     Vectors that are null, empty, zero or hold a null or non-finite component, and
     rows without an id, link with nothing: they have no links, themselves as component
     and are kept.  Vectors of different lengths are never linked.  Repeated rows count
     as vectors of their own.  Other columns are ignored; an empty table gives an empty
-    result.
+    result.  ``passes`` come first, by default as many as the number of classes needs; more
+    follow while they still join components.
     """
     rows = vectors.select("vec_id", "embedding")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -149,16 +154,33 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int =
     linkable = F.coalesce(F.col("vec_id").isNotNull() & ~bad & some, F.lit(False))
     classes = rows.filter(linkable).groupBy("embedding").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies"))
     item = vectors.schema["embedding"].dataType.simpleString()
-    keyed = stage(
-        classes.mapInArrow(_keyed(passes, seed), f"embedding {item}, class long, copies long, keys array<long>"), "keyed"
-    ).withColumn("width", F.size("embedding"))
-    found = []
-    for lo in range(0, passes, PASSES_PER_JOB):
-        turn = keyed.select("width", "class", "embedding", F.posexplode(F.slice("keys", lo + 1, PASSES_PER_JOB)).alias("pass", "key"))
+    schema = f"embedding {item}, class long, copies long"
+    keyed = stage(classes, "classes").withColumn("width", F.size("embedding"))
+    if passes is None:
+        passes = max(PASSES, passes_for(keyed.count(), threshold=threshold, window=window))
+
+    def pairs(turn: int) -> DataFrame:
+        """Links that one job of passes finds."""
+        n = PASSES_PER_JOB if turn >= jobs else min(PASSES_PER_JOB, passes - turn * PASSES_PER_JOB)
+        rows = keyed.drop("width").mapInArrow(_keyed(n, [seed, turn]), f"{schema}, keys array<long>")
+        rows = rows.select(F.size("embedding").alias("width"), "class", "embedding", F.posexplode("keys").alias("pass", "key"))
         order = ["width", "pass", "key", "class"]
-        ordered = turn.repartitionByRange(*order).sortWithinPartitions(*order)
-        found.append(stage(ordered.mapInArrow(_neighbours(window, threshold), "a long, b long").distinct(), "near"))
-    parts = connected_components(reduce(DataFrame.unionByName, found))
+        ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        return stage(ordered.mapInArrow(_neighbours(window, threshold), "a long, b long").distinct(), "near")
+
+    jobs = -(-passes // PASSES_PER_JOB)
+    parts = connected_components(reduce(DataFrame.unionByName, [pairs(turn) for turn in range(jobs)]))
+    turn, quiet = jobs, 0
+    while quiet < QUIET_JOBS:
+        found = pairs(turn)
+        for end in ("a", "b"):
+            part = parts.select(F.col("id").alias(end), F.col("component").alias(f"part_{end}"))
+            found = found.join(part, end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
+        new = stage(found.filter("part_a != part_b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct(), "new")
+        quiet, turn = quiet + 1, turn + 1
+        if not new.isEmpty():
+            quiet = 0
+            parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
 
     members = keyed.select("class", "copies", "embedding").join(parts.select(F.col("id").alias("class"), "component"), "class")
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
