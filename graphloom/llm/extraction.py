@@ -85,6 +85,11 @@ class _Blocks(HTMLParser):
         del self.stack[at:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        # the head's end tag may be left out: body ends it, and so does a block that is in no other silent tag
+        if tag == "body" or (tag in BLOCK_TAGS and self.silent == 1):
+            at = next((i for i, (t, _) in enumerate(self.stack) if t == "head"), None)
+            if at is not None:
+                self.pop_to(at)
         if tag in BLOCK_TAGS:
             self.flush()
             if tag in CLOSES_P:  # an open paragraph, with all that was left open in it, ends here

@@ -1,0 +1,16 @@
+"""Pages that leave out the end tag of their head."""
+
+import pytest
+
+pytest.importorskip("graphloom.llm")
+from graphloom.llm import extraction  # noqa: E402
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>x</title><body><p>one<p>two</body></html>",
+    "<html><head><title>x</title><meta charset=utf-8><p>one<p>two",
+    "<head><noscript>no<body><p>one<p>two",
+    "<head><noscript><div>no</div></noscript><title>x</title></head><body><p>one<p>two",
+])
+def test_head_without_end(page):
+    assert [b.text for b in extraction.page_blocks(page)] == ["one", "two"]
