@@ -35,8 +35,7 @@ def op5_contextual_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_block_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    return extraction.extract(pages, extraction.fit(pages))
+    return extraction.extract(_table(spark, sf_dir, "pages"), extraction.fit())
 
 
 def op7_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:

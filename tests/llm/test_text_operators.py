@@ -178,15 +178,16 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>
 
 def test_extraction(spark):
     pages = [(k, f"u{k}", PAGE % {"k": k}, 3) for k in range(30)] + [(50, None, None, 3), (51, "u", "", 3), (52, "u", "<p></p><!-- x -->", 3), (53, "u", "<" * 2000, 3)]
+    pages += [(54, "u", "<p>a</p><![foo[bar]]>", 3), (54, "u", "<p>a</p><![foo[bar]]>", 3), (None, "u", "<nav><a href=x>menu</a></nav>", 3)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, text int")
-    model = extraction.fit(df, 20)
+    model = extraction.fit()
     rows = {r["page_id"]: r for r in extraction.extract(df, model).collect()}
     for k in range(30):
         assert rows[k]["text"] == f"Head & title First para{k}. Second one inline, long enough to be told from a menu."
         assert rows[k]["n_chars"] == len(rows[k]["text"])
     assert [rows[k]["text"] for k in (50, 51, 52)] == [""] * 3
+    assert extraction.extract(df, model).count() == len(pages)
     assert extraction.extract(df.limit(0), model).count() == 0
-    assert extraction.fit(df.limit(0)).labels == 2
 
 
 def test_blocks():
