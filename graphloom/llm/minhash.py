@@ -82,33 +82,30 @@ def _lists(values: np.ndarray) -> pa.Array:
     )
 
 
-def _chunks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, row and hash of each distinct shingle) of a batch with a text column."""
-    for first, n, data, bounds in text_chunks(batch.column("text")):
-        words, rows, _, _ = word_hashes(data, bounds)
-        yield first, n, *distinct_in_rows(*shingle_hashes(words, rows, size))
-
-
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, n, rows, hashes in _chunks(batch, SHINGLE_WORDS):
+        for first, n, data, bounds in text_chunks(batch.column("text")):
+            words, rows, _, _ = word_hashes(data, bounds)
+            rows, hashes = distinct_in_rows(*shingle_hashes(words, rows, SHINGLE_WORDS))
             counts, hi, lo, bands, packed = _sign(rows, hashes, n)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").slice(first, n), pa.array(counts.astype(np.int64)),
+                    batch.column("id").slice(first, n), batch.column("print").slice(first, n), pa.array(counts.astype(np.int64)),
                     pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), _lists(bands), _lists(packed),
                 ],
-                ["id", "n_shingles", "set_hi", "set_lo", "bands", "signature"],
+                ["id", "print", "n_shingles", "set_hi", "set_lo", "bands", "signature"],
             )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, n, rows, hashes in _chunks(batch, SHINGLE_WORDS):
+        for first, n, data, bounds in text_chunks(batch.column("text")):
+            words, rows, _, _ = word_hashes(data, bounds)
+            rows, hashes = distinct_in_rows(*shingle_hashes(words, rows, SHINGLE_WORDS))
             ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(first, n), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))],
-                ["id", "shingles"],
+                [batch.column("class").slice(first, n), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))],
+                ["class", "shingles"],
             )
 
 
@@ -183,8 +180,8 @@ def estimated_similarity(a: str, b: str) -> F.Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
+    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
+    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return (
@@ -198,29 +195,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """Class of every document under Jaccard similarity of five-word shingles.
 
     Returns ``doc_id, n_shingles, component_id, kept`` and nothing of the input's
-    other columns.  Null, empty and blank texts have no shingles, link with nothing
-    and are kept.  Repeated rows of one id are one node and come back as often as
-    they came in; rows with a null id count as one more node of their own text
-    class, are never a class's smallest id unless all its ids are null, and keep a
-    null component in that case.  An empty table gives an empty result.
+    other columns, one row for each input row.  Every row is linked by its own text:
+    rows that repeat an id, with the same text or others, and rows without an id take
+    part like any other.  ``component_id`` is the smallest id that is not null of a
+    row's component, null if there is none; ``kept`` is whether the row's id is that
+    one (rows of one id in one component are all kept; of a component without ids, all).
+    Null, empty and blank texts have no shingles, link with nothing, have their own id
+    as component and are kept.  An empty table gives an empty result.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stage(source.mapInArrow(_signed, f"id long, {_SIGNED}"), "signed")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    signed = stage(source.mapInArrow(_signed, f"id long, print long, {_SIGNED}"), "signed")
     fingerprint = ["set_hi", "set_lo", "n_shingles"]
-    classes = stage(
-        signed.filter("n_shingles > 0 and id is not null").groupBy(*fingerprint).agg(F.min("id").alias("class")), "classes"
-    )
-    firsts = signed.join(
-        classes.select("set_hi", "set_lo", "n_shingles", F.col("class").alias("id")), [*fingerprint, "id"], "left_semi"
-    )
-    keys = firsts.select(F.col("id").alias("class"), F.explode("bands").alias("band"))
+    # a class is a set of shingles; the row of the smallest id (and text) stands for it
+    rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("rep")
+    classes = signed.filter("n_shingles > 0").groupBy(*fingerprint).agg(F.min("id").alias("low_id"), rep)
+    classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    named = classes.select(*fingerprint, F.col("rep.id").alias("id"), F.col("rep.print").alias("print"), "class")
+    same_row = (F.col("s.id").eqNullSafe(F.col("c.id"))) & (F.col("s.print") == F.col("c.print"))
+    matched = signed.alias("s").join(named.alias("c"), same_row & (F.col("s.set_hi") == F.col("c.set_hi")) & (F.col("s.set_lo") == F.col("c.set_lo")))
+    firsts = stage(matched.select("c.class", "s.bands", "s.signature").dropDuplicates(["class"]), "firsts")
+    keys = firsts.select("class", F.explode("bands").alias("band"))
     sizes = keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = stage(keys.join(sizes, "band"), "buckets")
     degrees = members.groupBy("class").agg(F.sum("n").alias("degree"))
+    # staged, so that the joins below read plain shuffles, whose skewed partitions Spark splits
     heads = members.join(degrees, "class").groupBy("band").agg(
         F.max_by("class", F.struct("degree", -F.col("class"))).alias("hub"), F.min("class").alias("low")
     )
-    signatures = firsts.select(F.col("id").alias("class"), "signature")
+    heads = stage(heads, "heads")
+    signatures = firsts.select("class", "signature")
     least = percent / 100 - MARGIN
 
     def estimated(pairs: DataFrame) -> DataFrame:
@@ -231,9 +234,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     spokes = members.join(heads, "band").select("class", F.explode(F.array("hub", "low")).alias("head")).filter("class != head")
     stars = stage(estimated(spokes.select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b")).distinct()), "stars")
-    named = members.select(F.col("class").alias("id")).distinct()
-    texts = source.join(named, "id", "left_semi").dropDuplicates(["id"])
-    sets = stage(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    needed = named.join(members.select("class").distinct(), "class", "left_semi")
+    texts = source.alias("s").join(needed.alias("c"), same_row).select("c.class", "s.text").dropDuplicates(["class"])
+    sets = stage(texts.mapInArrow(_sets, "class long, shingles array<long>"), "sets")
     links = stage(_confirmed(stars, sets, percent), "links")
     parts = connected_components(links)
 
@@ -244,28 +247,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     mixed = by_part.groupBy("band").agg(
         F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts")
     ).filter("parts > 1")
-    labelled = stage(labelled.join(mixed.select("band", "main"), "band"), "mixed")
+    labelled = stage(labelled.join(stage(mixed.select("band", "main"), "mains"), "band"), "mixed")
     labelled = labelled.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     labelled = labelled.withColumn("at", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     columns = ["band", "i", "j", "asks", "class", "component", "main"]
     targets = labelled.withColumn("asks", F.lit(False)).withColumnRenamed("at", "j").withColumn("i", every).select(columns)
     queries = labelled.filter("component != main").withColumn("asks", F.lit(True)).withColumnRenamed("at", "i").withColumn("j", every).select(columns)
-    rows = targets.unionByName(queries).join(sets.withColumnRenamed("id", "class"), "class").select(*columns, "shingles")
+    rows = targets.unionByName(queries).join(sets, "class").select(*columns, "shingles")
     rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     more = stage(rows.mapInArrow(_crossing(percent), "a long, b long").distinct(), "links")
     merged = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     final = connected_components(merged)
 
-    class_of = classes.join(final.select(F.col("id").alias("class"), "component"), "class", "left").select(
-        *fingerprint, F.coalesce("component", "class").alias("component")
-    )
+    class_of = classes.join(final.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    lowest = class_of.groupBy("component").agg(F.min("low_id").alias("low_id"))
+    class_of = class_of.select(*fingerprint, "component").join(lowest, "component").drop("component")
+    component = F.when(F.col("n_shingles") > 0, F.col("low_id")).otherwise(F.col("id"))
     return (
         signed.select("id", *fingerprint)
         .join(class_of, fingerprint, "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")))
-        .select(
-            F.col("id").alias(id_col), "n_shingles", "component_id",
-            F.coalesce(F.col("component_id") == F.col("id"), F.col("id").isNull() & F.col("component_id").isNull()).alias("kept"),
-        )
-    )
+        .select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
+        .withColumn("kept", F.col("component_id").eqNullSafe(F.col(id_col)))
+    )

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("graphloom.llm")
 from graphloom.llm import chaining, minhash, projection  # noqa: E402
@@ -69,8 +70,21 @@ def test_minhash_against_all_pairs(spark):
 def test_minhash_edges(spark):
     schema = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
-    rows = minhash.near_duplicates(spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, None)], schema)).collect()
-    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in rows) == [("1", "1", True), ("1", "1", True), ("None", "1", False), ("None", "None", True)]
+    rows = minhash.near_duplicates(spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, None), (None, "d e"), (2, " ")], schema)).collect()
+    got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in rows)
+    assert got == [("1", "1", True), ("1", "1", True), ("2", "2", True), ("None", "1", False), ("None", "None", True), ("None", "None", True)]
+
+
+def test_minhash_of_repeated_ids(spark):
+    """Every text of a repeated or missing id keeps its links."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(WORDS, k=200)) for _ in range(4)]
+    near = [_edited(t, rng, 1) for t in texts]
+    rows = [(1, texts[0]), (1, texts[1]), (2, near[0]), (3, near[1]), (None, texts[2]), (None, near[3]), (4, near[2]), (5, texts[3]), (5, texts[3]), (None, "x y z")]
+    docs = spark.createDataFrame([(i, t, "c", 0) for i, t in rows], "doc_id long, text string, class string, print int")
+    got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    want = [("1", "1"), ("1", "1"), ("2", "1"), ("3", "1"), ("None", "4"), ("4", "4"), ("None", "5"), ("5", "5"), ("5", "5"), ("None", "None")]
+    assert got == sorted((i, c, i == c) for i, c in want)
 
 
 def test_estimate_follows_similarity(spark):
@@ -78,7 +92,7 @@ def test_estimate_follows_similarity(spark):
     base = " ".join(rng.choices(WORDS, k=200))
     texts = [base, _edited(base, rng, 1), _edited(base, rng, 8), " ".join(rng.choices(WORDS, k=200))]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    signed = docs.mapInArrow(minhash._signed, f"id long, {minhash._SIGNED}").select("id", "signature")
+    signed = docs.withColumn("print", F.lit(0).cast("long")).mapInArrow(minhash._signed, f"id long, print long, {minhash._SIGNED}").select("id", "signature")
     pairs = signed.filter("id = 0").withColumnsRenamed({"id": "a", "signature": "sa"}).join(signed.filter("id > 0").withColumnsRenamed({"id": "b", "signature": "sb"}))
     got = {r["b"]: r["e"] for r in pairs.select("b", minhash.estimated_similarity("sa", "sb").alias("e")).collect()}
     for k in (1, 2, 3):
