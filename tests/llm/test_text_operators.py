@@ -131,21 +131,64 @@ def test_contexts_find_unknown_identifiers(spark):
     key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
     texts = [f'words token = "{key()}" words' for _ in range(12)] + ['say token = "Zk9_secret-77" now'] + [f"name: value{k}x" for k in range(20)] + ["mail a@b.cd x", "", None, "name: a1b2c3d4"]
     docs = spark.createDataFrame([(i, t, [1], "p", i) for i, t in enumerate(texts)], "doc_id long, text string, spans array<int>, places string, row_id long")
-    rows = {r["doc_id"]: r for r in privacy.annotate(docs).collect()}
+    found = privacy.annotate(docs).cache()
+    rows = {r["doc_id"]: r for r in found.collect()}
     assert len(rows) == len(texts)
     assert all((r["places"], r["row_id"]) == ("p", i) for i, r in rows.items())
     assert [(s["kind"], texts[12][s["start"] : s["end"]]) for s in rows[12]["spans"]] == [("ident", "Zk9_secret-77")]
     assert not any(rows[i]["spans"] for i in range(13, 33))
     assert [tuple(s) for s in rows[33]["spans"]] == [("email", 5, 11)]
-    masked = {r["doc_id"]: r["m"] for r in privacy.annotate(docs).select("doc_id", privacy.masked("text", "spans").alias("m")).collect()}
+    masked = {r["doc_id"]: r["m"] for r in found.select("doc_id", privacy.masked("text", "spans").alias("m")).collect()}
     assert masked[33] == "mail [EMAIL] x"
     assert masked[12] == 'say token = "[IDENT]" now'
     assert (masked[34], masked[35]) == ("", None)
-    digest = privacy.annotate(docs).filter("doc_id = 33").select(F.sha2(privacy.joined_spans("base"), 256)).first()[0]
+    digest = found.filter("doc_id = 33").select(F.sha2(privacy.joined_spans("base"), 256)).first()[0]
     assert digest == privacy.spans_digest([("email", 5, 11)])
     assert privacy.annotate(docs.limit(0)).count() == 0
 
 
+def test_contexts_without_delimiters(spark):
+    """Patterns of words alone are induced; common words in front of a seed are none; found instances induce more patterns."""
+    rng = random.Random(6)
+    phone = lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    texts = [f"so please call me at {phone()} today" for _ in range(24)] + ["or call me at ZX-99817-Q today"]
+    # a number of unseen form that is known from above stands behind new words, three of them
+    texts += [f"call me at QA-7{k}4-R now" for k in range(4)] + [f"member code is QA-7{k}4-R then" for k in range(4)] + ["member code is LM-5501-T then"]
+    texts += ["we looked at 2000km of road", "they met at 10:30:00 there", *["it was at home in the code is law"] * 40, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "ident"} for r in privacy.annotate(docs).collect()}
+    want = {24: {"ZX-99817-Q"}, 33: {"LM-5501-T"}} | {25 + k + d: {f"QA-7{k}4-R"} for k in range(4) for d in (0, 4)}
+    assert {i: f for i, f in found.items() if f} == want
+
+
+@pytest.mark.parametrize("noise", [{"p": 1, "z": 1}, {"z": 1}])
+def test_graph_by_hand(spark, noise):
+    """All rounds of a small graph, in plain numbers."""
+    rows = [*[("p", i, True) for i in "abcde"], ("p", "x", False), ("q", "a", True), ("q", "x", False), ("r", "x", False), ("r", "y", False)]
+    score, trust = {}, {(p, i): float(c) for p, i, c in rows}
+    for _ in range(3):
+        for p in "pqr":
+            own = [t for (k, _), t in trust.items() if k == p and t >= 0.8]
+            score[p] = sum(own) / (sum(k == p for k, _ in trust) + noise.get(p, 0)) if own else 0.0
+        trust = {(p, i): 1.0 if c else max(score[k] for k, j, _ in rows if j == i) for p, i, c in rows}
+    edges = spark.createDataFrame(rows, "pattern string, instance string, certain boolean")
+    got = {r["pattern"]: r["score"] for r in privacy.scored_patterns(edges, spark.createDataFrame(list(noise.items()), "pattern string, n long"), support=1, confident=0.8).collect()}
+    assert got == pytest.approx(score)
+    assert (score["q"] > 0.9) == ("p" not in noise)  # x is trusted through p alone
+    assert (score["r"] > 0) == ("p" not in noise)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no tables")
+def test_held_out_keys(spark):
+    """Keys that begin with a letter are no seeds; their context finds them, and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = privacy.annotate(docs, seed_keys="(?=[0-9])" + privacy._KEY.pattern).collect()
+    found = {r["text"][s["start"] : s["end"]] for r in rows for s in r["spans"] if s["kind"] == "ident"}
+    keys = {k for r in rows for k in re.findall(r"\b[0-9a-f]{40}\b", r["text"] or "")}
+    assert any(k[0] in "abcdef" for k in keys)
+    assert found == keys
+
+
 # fields -----------------------------------------------------------------------------------
 
 
