@@ -166,7 +166,7 @@ def test_chain_against_quadratic():
         pos, other = [m[0] for m in matches], [m[1] for m in matches]
         best = []
         for i, (p, q) in enumerate(matches):
-            gains = [best[j] - 0.05 * (p - a + q - b) + 0.1 for j, (a, b) in enumerate(matches[:i]) if a < p and b < q]
+            gains = [best[j] - chaining.GAP_COST * (p - a + q - b - 2) for j, (a, b) in enumerate(matches[:i]) if a < p and b < q]
             best.append(1 + max([0.0, *gains]))
         score, _ = chaining.best_predecessors(pos, other)
         assert score == pytest.approx(best)
