@@ -3,7 +3,12 @@
 Vectors with the same components are one class.  In every pass each class has a key
 of 64 random hyperplane signs; classes are sorted by it (a range-partitioned sort, so
 a dense region is split like any other), and each is compared with the ``WINDOW``
-classes after it in double precision.  Pairs found over all passes give components.
+classes after it in double precision.  A window that reaches over the end of a task's
+range is filled in a second step: the first and last ``WINDOW`` classes of every range,
+numbered through all ranges, meet in blocks of that many numbers, so the links found do
+not depend on how many ranges there are.  A task returns of each pass the links that join
+classes not yet joined in it, a forest and not all pairs of a dense group.  All links give
+components.
 
 A link joins two vectors of one component, so the links of every vector are then
 counted within its component, in blocks of ``BLOCK`` classes against ``BLOCK``
@@ -27,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.staging import stage
@@ -80,65 +85,162 @@ def _keyed(passes: int, seed: int | list[int]):
     return run
 
 
+class _Forest:
+    """Which classes links have joined so far."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def joining(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
+        """The links that join two trees."""
+        out = []
+        for x, y in zip(a, b, strict=True):
+            p, q = self.root(x), self.root(y)
+            if p != q:
+                self.parent[max(p, q)] = min(p, q)
+                out.append((min(x, y), max(x, y)))
+        return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Parts of sorted batches with equal ``keys``; a run over several batches comes in several parts."""
+    for batch in batches:
+        values = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo:
+                yield tuple(values[lo].tolist()), batch.slice(lo, hi - lo)
+
+
+_FOUND_NAMES = ["a", "b", "width", "pass", "part", "at", "n", "class", "embedding"]
+
+
+def _found(links: list[tuple[int, int]], kind: pa.DataType) -> pa.RecordBatch:
+    a, b = zip(*links, strict=True)
+    n = len(links)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.nulls(n, pa.int32())] * 3, *[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, kind)], _FOUND_NAMES
+    )
+
+
 def _neighbours(window: int, threshold: float):
-    """Links of sorted rows ``width, pass, class, embedding`` with the rows that follow them."""
+    """Links of sorted rows ``width, pass, class, embedding`` with the rows that follow them in the task, and the task's edge rows.
+
+    A link has ``a, b``.  An edge row, one of the first or last ``window`` rows that the
+    task has of a pass, has its place ``at`` among them and their number ``n`` (known at
+    the last ones only).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, rows = None, np.zeros(0, np.int64), None
-        for batch in batches:
-            keys = np.stack([batch.column("width").to_numpy(), batch.column("pass").to_numpy()], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), batch.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi == lo:
-                    continue
-                part = batch.slice(lo, hi - lo)
-                x, new = _matrix(part.column("embedding")), part.column("class").to_numpy()
-                if group != tuple(keys[lo]):
-                    group, ids, rows = tuple(keys[lo]), new[:0], x[:0]
-                old = len(ids)
-                ids, rows = np.concatenate([ids, new]), np.concatenate([rows, x])
-                for d in range(1, min(window, len(ids) - 1) + 1):
-                    first = max(0, old - d)  # pairs of two earlier rows have been seen
-                    near = np.einsum("ij,ij->i", rows[first:-d], rows[first + d :]) >= threshold
-                    if near.any():
-                        a, b = ids[first:-d][near], ids[first + d :][near]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-                ids, rows = ids[-window:], rows[-window:]
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        group, ids, rows, seen, tail, forest = None, np.zeros(0, np.int64), None, 0, None, _Forest()
+
+        def edges(key, part_rows, first_at, n):
+            m = part_rows.num_rows
+            same = lambda v, t: pa.array(np.full(m, v), t)
+            return pa.RecordBatch.from_arrays(
+                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), same(key[0], pa.int32()), same(key[1], pa.int32()), same(part, pa.int32()),
+                 pa.array(np.arange(first_at, first_at + m)), same(n, pa.int64()), part_rows.column("class"), part_rows.column("embedding")], _FOUND_NAMES
+            )
+
+        def last_edges():
+            table = pa.Table.from_batches(tail)
+            last = table.slice(max(0, table.num_rows - window)).combine_chunks().to_batches()[0]
+            return edges(group, last, seen - last.num_rows, seen)
+
+        for key, batch in _runs(batches, ("width", "pass")):
+            x, new = _matrix(batch.column("embedding")), batch.column("class").to_numpy()
+            if group != key:
+                if group is not None:
+                    yield last_edges()
+                group, ids, rows, seen, tail, forest = key, new[:0], x[:0], 0, [], _Forest()
+            if seen < window:
+                yield edges(key, batch.slice(0, window - seen), seen, -1)
+            seen += len(new)
+            held = sum(b.num_rows for b in tail)
+            tail.append(batch.select(["class", "embedding"]))
+            while held and held + len(new) - tail[0].num_rows >= window:
+                held -= tail.pop(0).num_rows
+            old = len(ids)
+            ids, rows = np.concatenate([ids, new]), np.concatenate([rows, x])
+            for d in range(1, min(window, len(ids) - 1) + 1):
+                first = max(0, old - d)  # pairs of two earlier rows have been seen
+                near = np.einsum("ij,ij->i", rows[first:-d], rows[first + d :]) >= threshold
+                if near.any():
+                    links = forest.joining(ids[first:-d][near].tolist(), ids[first + d :][near].tolist())
+                    if links:
+                        yield _found(links, batch.column("embedding").type)
+            ids, rows = ids[-window:], rows[-window:]
+        if group is not None:
+            yield last_edges()
 
     return run
 
 
-def _counts(threshold: float):
-    """Links of the left rows of each run of ``component, i, j``: sorted, a block's rows side by side."""
+def _across(window: int, threshold: float):
+    """Links between rows of different tasks in each run of ``width, pass, block``: rows of the block with later ones up to ``window`` on."""
 
-    def links(keys, batch: pa.Table) -> pa.RecordBatch:
-        left = batch.column("is_left").to_numpy()
-        x = _matrix(batch.column("embedding").combine_chunks())
-        ids, copies = batch.column("class").to_numpy(), batch.column("copies").to_numpy()
-        near = x[left] @ x[~left].T >= threshold
-        near &= ids[left][:, None] != ids[~left][None, :]
-        return pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(near @ copies[~left])], ["class", "links"])
+    def links(batches: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        table = pa.Table.from_batches(batches)
+        x, ids = _matrix(table.column("embedding").combine_chunks()), table.column("class").to_numpy()
+        at, part, own = (table.column(k).to_numpy() for k in ("rank", "part", "own"))
+        near = x[own] @ x.T >= threshold
+        ahead = at[None, :] - at[own][:, None]
+        near &= (ahead > 0) & (ahead <= window) & (part[own][:, None] != part[None, :])
+        i, j = np.nonzero(near)
+        return _Forest().joining(ids[own][i].tolist(), ids[j].tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in ("component", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), batch.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi == lo:
-                    continue
-                if key is not None and key != tuple(keys[lo]):
-                    yield links(key, pa.Table.from_batches(held))
-                    held = []
-                key = tuple(keys[lo])
-                held.append(batch.slice(lo, hi - lo))
+        for now, batch in _runs(batches, ("width", "pass", "block")):
+            if key not in (None, now):
+                if found := links(held):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], ["a", "b"])
+                held = []
+            key = now
+            held.append(batch)
+        if held and (found := links(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], ["a", "b"])
+
+    return run
+
+
+def _counts(threshold: float):
+    """Links of the rows of each run of ``component, i, j``, i <= j, sorted: those of block i with those of block j, counted on both sides."""
+
+    def links(key, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        x, at = _matrix(table.column("embedding").combine_chunks()), table.column("at").to_numpy()
+        ids, copies = table.column("class").to_numpy(), table.column("copies").to_numpy()
+        left, right = at == key[1], at == key[2]
+        near = x[left] @ x[right].T >= threshold
+        near &= ids[left][:, None] != ids[right][None, :]
+        counts = [near @ copies[right]] if key[1] == key[2] else [near @ copies[right], copies[left] @ near]
+        names = [ids[left]] if key[1] == key[2] else [ids[left], ids[right]]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(counts))], ["class", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for now, batch in _runs(batches, ("component", "i", "j")):
+            if key not in (None, now):
+                yield links(key, held)
+                held = []
+            key = now
+            held.append(batch)
         if held:
-            yield links(key, pa.Table.from_batches(held))
+            yield links(key, held)
 
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, seed: int = SEED, quiet_jobs: int = QUIET_JOBS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vec_id, embedding``.
 
     Vectors that are null, empty, zero or hold a null or non-finite component, and
@@ -166,12 +268,24 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int |
         rows = rows.select(F.size("embedding").alias("width"), "class", "embedding", F.posexplode("keys").alias("pass", "key"))
         order = ["width", "pass", "key", "class"]
         ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        return stage(ordered.mapInArrow(_neighbours(window, threshold), "a long, b long").distinct(), "near")
+        ddl = f"a long, b long, width int, pass int, part int, at long, n long, class long, embedding {item}"
+        found = stage(ordered.mapInArrow(_neighbours(window, threshold), ddl), "neighbours")
+        # how many rows of the pass come before each task's: one row per task and pass
+        pieces = found.filter("n >= 0").groupBy("width", "pass", "part").agg(F.max("n").alias("n"))
+        ahead = Window.partitionBy("width", "pass").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        pieces = pieces.select("width", "pass", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+        edge = found.filter("a is null").select("width", "pass", "part", "at", "class", "embedding").dropDuplicates(["width", "pass", "part", "at"])
+        edge = edge.join(pieces, ["width", "pass", "part"]).withColumn("rank", F.col("before") + F.col("at"))
+        own = F.floor(F.col("rank") / window)
+        edge = edge.withColumn("block", F.explode(F.array(own - 1, own))).withColumn("own", F.col("block") == own)
+        edge = edge.select("width", "pass", "block", "rank", "part", "own", "class", "embedding")
+        across = edge.repartition("width", "pass", "block").sortWithinPartitions("width", "pass", "block").mapInArrow(_across(window, threshold), "a long, b long")
+        return stage(found.filter("a is not null").select("a", "b").unionByName(across).distinct(), "near")
 
     jobs = -(-passes // PASSES_PER_JOB)
     parts = connected_components(reduce(DataFrame.unionByName, [pairs(turn) for turn in range(jobs)]))
     turn, quiet = jobs, 0
-    while quiet < QUIET_JOBS:
+    while quiet < quiet_jobs:
         found = pairs(turn)
         for end in ("a", "b"):
             part = parts.select(F.col("id").alias(end), F.col("component").alias(f"part_{end}"))
@@ -185,11 +299,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int |
     members = keyed.select("class", "copies", "embedding").join(parts.select(F.col("id").alias("class"), "component"), "class")
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = stage(members.join(sizes, "component"), "members").withColumn("at", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    kept = ["component", "class", "copies", "embedding"]
-    left = members.withColumn("j", every).select(*kept, F.col("at").alias("i"), "j", F.lit(True).alias("is_left"))
-    right = members.withColumn("i", every).select(*kept, "i", F.col("at").alias("j"), F.lit(False).alias("is_left"))
-    blocks = left.unionByName(right).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    # each vector meets every block once: as block i of pairs (i, j) or block j of pairs (j, i)
+    met = members.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("component", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"), "at", "class", "copies", "embedding")
+    blocks = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     counted = blocks.mapInArrow(_counts(threshold), "class long, links long").groupBy("class").agg(F.sum("links").alias("links"))
 
     named = (

@@ -26,3 +26,31 @@ def test_dense_region(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = np.array([r["n_links"] for r in sorted(projection.near_vectors(df, window=8).collect())])
     assert got.sum() >= 0.995 * links.sum(), got.sum() / links.sum()
+
+
+def _planted(n, pairs, seed):
+    """Vectors of 32 dimensions, the first ``pairs`` of which have a partner at cosine 0.951 to 0.96 at the end."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(pairs, 32))
+    side -= np.einsum("ij,ij->i", side, x[:pairs])[:, None] * x[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.951, 0.96, size=(pairs, 1))
+    return np.concatenate([x, c * x[:pairs] + np.sqrt(1 - c * c) * side])
+
+
+@pytest.mark.parametrize("partitions", [2, 60])
+def test_windows_cross_ranges(spark, partitions):
+    """Pairs are found whatever the number of ranges, ranges shorter than a window among them."""
+    x = _planted(1500, 150, 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in projection.near_vectors(df, passes=16, quiet_jobs=0).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == {i: (i % 1500, int(i < 150 or i >= 1500)) for i in range(1650)}
