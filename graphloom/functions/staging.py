@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for staged tables, as the session has it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staged"
     return base.rstrip("/") + "/graphloom"
 

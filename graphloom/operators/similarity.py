@@ -17,9 +17,28 @@ GAP_OPEN, GAP_EXTEND = -5.0, 0.0
 PROFILE_SHARE, MATRIX_SHARE = 0.3, 0.7
 
 
+def block_pairs(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` with ``i, j, at``: dealt to blocks ``at`` by ``id``, each row once for every block it meets, as pairs i <= j of blocks."""
+    count = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return dealt.withColumn("i", F.least("at", "k")).withColumn("j", F.greatest("at", "k")).drop("k")
+
+
+def sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The rows of block i and those of block j of a pair of blocks."""
+    return rows[rows["at"] == rows["i"]], rows[rows["at"] == rows["j"]]
+
+
+def ordered_pairs(left: np.ndarray, right: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place left, place right, smaller id, larger id) of the wanted pairs of different ids; pairs inside one block once."""
+    same = len(left) == len(right) and (left == right).all()
+    a, b = np.nonzero(wanted & ((left[:, None] < right[None, :]) if same else (left[:, None] != right[None, :])))
+    return a, b, np.minimum(left[a], right[b]), np.maximum(left[a], right[b])
+
+
 def _pair_scores(least: float | None):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["is_left"]], rows[~rows["is_left"]]
+        left, right = sides(rows)
         if left.empty or right.empty:
             return pd.DataFrame({"seq1": [], "seq2": [], "subsmat": [], "psi": []})
         x, y = np.stack(left["vec"].to_numpy()).astype(float), np.stack(right["vec"].to_numpy()).astype(float)
@@ -27,14 +46,10 @@ def _pair_scores(least: float | None):
         dot = x @ y.T
         with np.errstate(divide="ignore", invalid="ignore"):
             cosine = dot / np.sqrt(xx[:, None] * yy[None, :])
-        wanted = left["id"].to_numpy()[:, None] < right["id"].to_numpy()[None, :]
-        if least is not None:
-            wanted &= cosine >= least
-        a, b = np.nonzero(wanted)
+        near = np.ones(cosine.shape, dtype=bool) if least is None else cosine >= least
+        a, b, low, high = ordered_pairs(left["id"].to_numpy(), right["id"].to_numpy(), near)
         apart = np.sqrt(np.maximum(0, ((x[a] - y[b]) ** 2).sum(axis=1)))
-        return pd.DataFrame(
-            {"seq1": left["id"].to_numpy()[a], "seq2": right["id"].to_numpy()[b], "subsmat": cosine[a, b], "psi": 1 / (1 + apart)}
-        )
+        return pd.DataFrame({"seq1": low, "seq2": high, "subsmat": cosine[a, b], "psi": 1 / (1 + apart)})
 
     return run
 
@@ -43,16 +58,13 @@ def vector_pairs(vectors: DataFrame, least: float | None = None, block: int = BL
     """``seq1 < seq2, subsmat, psi`` of all pairs of rows ``id, vec`` (of those at cosine ``least`` or more).
 
     ``subsmat`` is the cosine, ``psi`` one over one plus the distance.  Rows are dealt to
-    blocks, and each task multiplies one block with another, so no task sees more than
-    two blocks whatever the number of rows, and pairs under the bound never leave it.
+    blocks, and each task multiplies one block with another, each two blocks once, so no
+    task sees more than two blocks whatever the number of rows, and pairs under the bound
+    never leave it.  Rows without a vector, or with a null in it, have no pairs.
     """
-    count = max(1, -(-vectors.count() // block))
-    rows = vectors.select("id", F.col("vec"), F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("at"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = rows.select("id", "vec", F.col("at").alias("i"), every.alias("j")).withColumn("is_left", F.lit(True))
-    right = rows.withColumn("i", every).select("id", "vec", "i", F.col("at").alias("j")).withColumn("is_left", F.lit(False))
+    rows = vectors.select("id", "vec").filter(F.col("vec").isNotNull() & ~F.exists("vec", lambda v: v.isNull()))
     kind = vectors.schema["id"].dataType.simpleString()
-    return left.unionByName(right).groupBy("i", "j").applyInPandas(_pair_scores(least), f"seq1 {kind}, seq2 {kind}, subsmat double, psi double")
+    return block_pairs(rows, block).groupBy("i", "j").applyInPandas(_pair_scores(least), f"seq1 {kind}, seq2 {kind}, subsmat double, psi double")
 
 
 def with_final_scores(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -65,7 +77,8 @@ def with_final_scores(pairs: DataFrame, by: list[str] | None = None) -> DataFram
     ends = [f(c).alias(f"{n}_{c}") for c in ("psi", "subsmat") for n, f in (("low", F.min), ("high", F.max))]
     keys = by or ["_all"]
     keyed = pairs if by else pairs.withColumn("_all", F.lit(1))
-    joined = keyed.join(keyed.groupBy(*keys).agg(*ends), keys)
+    found = keyed.groupBy(*keys).agg(*ends)
+    joined = keyed.join(found if by else F.broadcast(found), keys)  # one row without ``by``
     scaled = {c: min_max(F.col(c), F.col(f"low_{c}"), F.col(f"high_{c}")) for c in ("psi", "subsmat")}
     score = (PROFILE_SHARE * scaled["psi"] + MATRIX_SHARE * scaled["subsmat"]).alias("score")
     return joined.select(*pairs.columns, raw, score)
