@@ -279,7 +279,7 @@ def test_pipeline(spark):
             assert {r["doc_id"] for r in now.collect()} == {r["doc_id"] for r in judged.filter("kept").collect()}
         if name == "MinHash near-dedup":
             ids = sorted(r["doc_id"] for r in now.collect())
-            groups = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(before).collect()}
+            groups = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(before, percent=corpus_pipeline.NEAR_PERCENT).collect()}
             assert ids == sorted(set(groups.values()))
         if name == "PII":
             for r in now.collect():
