@@ -1,12 +1,18 @@
 """Quality rules: a hashed n-gram log-likelihood ratio after base rules (DataFrame functions only).
 
 Words and word pairs are hashed to ``BUCKETS`` buckets.  The trusted target is the
-text of documents labelled good (at most ``TARGET_DOCS``, in the order of a digest
-of their id); the raw corpus is every document.  A document's score is the mean over
-its n-grams of log(target share / raw share) of their buckets, so its length does
-not count, and one fixed threshold decides.  The counts are partial sums over a
-fixed number of buckets; the ratios, one array of that length, reach the tasks as a
-scalar subquery; scoring needs no shuffle.
+text of all documents labelled good; the raw corpus is every document.  A document's
+score is the mean over its n-grams of log(target share / raw share) of their buckets,
+so its length does not count, and one fixed threshold decides.
+
+The shares are cross-fitted: texts fall into ``FOLDS`` folds by their digest, and a text
+is scored by the counts of the other folds alone.  So neither a document nor an exact
+copy of it is in the counts that judge it, and trusted and other documents are treated
+alike.  The target's shares lean on the raw ones with the weight of ``STRENGTH`` n-grams
+a bucket: with few trusted texts, scores stay near 0, and without any all are 0.
+
+The counts are partial sums over a fixed number of buckets; the ratios, one array of
+that length a fold, reach the tasks as a scalar subquery; scoring needs no shuffle.
 """
 
 from __future__ import annotations
@@ -15,9 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
-TARGET_DOCS = 20_000
+FOLDS = 4
 SMOOTHING = 1.0
-THRESHOLD = -0.065
+STRENGTH = 16.0
+THRESHOLD = -0.05
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -86,71 +93,85 @@ def repeated_words(words: Column, window: int = 3) -> Column:
     return _bound(hashed(words), count)
 
 
+def fold_of(text: Column) -> Column:
+    """Fold of a text, from 0; copies share one."""
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
 def judged(text: Column, ratios: Column, threshold: float) -> Column:
     """Struct of what the words of a text decide: counts, score and verdict.
 
-    Everything hangs on one binding of the words, so no plan, wherever the optimiser
-    moves it, splits a text more than once per use of the struct.
+    Everything hangs on one binding of the words and one of the fold's ratios, so no
+    plan, wherever the optimiser moves it, splits a text more than once per use of the
+    struct.
     """
 
-    def mean(hashes: Column) -> Column:
-        singles = F.aggregate(hashes, F.lit(0.0), lambda acc, x: acc + ratios[single_bucket(x)])
-        pairs = F.aggregate(pair_buckets(hashes), F.lit(0.0), lambda acc, x: acc + F.coalesce(ratios[x], F.lit(0.0)))
+    def mean(hashes: Column, own: Column) -> Column:
+        singles = F.aggregate(hashes, F.lit(0.0), lambda acc, x: acc + own[single_bucket(x)])
+        pairs = F.aggregate(pair_buckets(hashes), F.lit(0.0), lambda acc, x: acc + F.coalesce(own[x], F.lit(0.0)))
         return F.when(F.size(hashes) > 0, (singles + pairs) / (2 * F.size(hashes) - 1))
 
-    def measures(hashes: Column) -> Column:
-        return F.struct(F.size(hashes).cast("long").alias("n_words"), repeated_words(hashes).alias("n_repeat_words"), mean(hashes).alias("score"))
+    def measures(own: Column) -> Column:
+        return _bound(
+            hashed_words(text),
+            lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), mean(w, own).alias("score")),
+        )
 
     def verdict(m: Column) -> Column:
         failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
         kept = ~failed & F.coalesce(m["score"] >= threshold, F.lit(False))
         return F.struct(m["n_words"].alias("n_words"), m["n_repeat_words"].alias("n_repeat_words"), m["score"].alias("score"), failed.alias("base_failed"), kept.alias("kept"))
 
-    return _bound(_bound(hashed_words(text), measures), verdict)
+    return _bound(_bound(ratios[fold_of(text)], measures), verdict)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """One row, ``ratios``: log(target share / raw share) of each bucket, in bucket order.
+def log_ratios(docs: DataFrame, trusted: DataFrame, strength: float = STRENGTH) -> DataFrame:
+    """One row, ``ratios``: for each fold, log(target share / raw share) of each bucket in the other folds.
 
-    ``trusted`` holds the ids of the trusted documents, at most ``TARGET_DOCS`` of
-    which are used: a bounded list, so it is broadcast.
+    ``trusted`` holds the ids of the trusted documents, of any number; Spark's size
+    check decides between a broadcast and a shuffle.  Rows without an id are spread by
+    their text, as they match none.
     """
-    spark = docs.sparkSession
-    chosen = trusted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS)
-    marked = docs.select("doc_id", "text").join(
-        F.broadcast(chosen.withColumn("trusted", F.lit(1))), "doc_id", "left"
-    )
-    grams = marked.select(F.explode(_bound(hashed_words(F.col("text")), ngram_buckets)).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    grams = grams.filter(F.col("bucket").isNotNull())
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
-    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
-    rows = every.agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("rows"),
-        F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"),
+    good = trusted.select("doc_id").distinct().select("doc_id", F.lit(0).alias("salt"), F.lit(1).alias("trusted"))
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text") % 4096).otherwise(0).cast("int")
+    marked = docs.select("doc_id", "text", salt.alias("salt")).join(good, ["doc_id", "salt"], "left")
+    grams = marked.select(
+        F.explode(_bound(hashed_words(F.col("text")), ngram_buckets)).alias("bucket"),
+        fold_of(F.col("text")).alias("fold"), F.coalesce("trusted", F.lit(0)).alias("trusted"),
     )
-    full = SMOOTHING * BUCKETS
-    return rows.select(
-        F.transform(
-            "rows",
-            lambda x: F.log((x["target"] + SMOOTHING) / (F.col("n_target") + full)) - F.log((x["raw"] + SMOOTHING) / (F.col("n_raw") + full)),
-        ).alias("ratios")
-    )
+    counts = grams.filter(F.col("bucket").isNotNull()).groupBy("bucket", "fold").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
+    folds = range(FOLDS)
+    others = [F.sum(F.when(F.col("fold") != k, F.col(name))).alias(f"{name}_{k}") for k in folds for name in ("raw", "target")]
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    every = every.join(counts.groupBy("bucket").agg(*others), "bucket", "left").fillna(0)
+    names = [f"{name}_{k}" for k in folds for name in ("raw", "target")]
+    rows = every.agg(F.array_sort(F.collect_list(F.struct("bucket", *names))).alias("rows"), *[F.sum(x).alias(x) for x in names])
+    prior = strength * BUCKETS
+
+    def of_fold(k: int) -> Column:
+        def ratio(x: Column) -> Column:
+            raw = (x[f"raw_{k}"] + SMOOTHING) / (F.col(f"raw_{k}") + SMOOTHING * BUCKETS)
+            return F.log((x[f"target_{k}"] / raw + prior) / (F.col(f"target_{k}") + prior))
+
+        return F.transform("rows", ratio)
+
+    return rows.select(F.array(*[of_fold(k) for k in folds]).alias("ratios"))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, strength: float = STRENGTH) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``score`` and ``kept``.
 
     A null text has no words and fails the base rules; so does any text under 50
     words, whatever its score (null without an n-gram).  Rows of one id are judged
     each by its own text.  Input columns of the names added here are replaced.
-    Without trusted documents all scores rest on the smoothing alone.
+    Without trusted documents all scores are 0, and the base rules alone decide.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     columns = [x for x in docs.columns if x not in added]
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
     # input columns travel in a struct, so none can clash with a name used here
-    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text")).withColumn("ratios", log_ratios(docs, trusted).scalar())
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text")).withColumn("ratios", log_ratios(docs, trusted, strength).scalar())
     rows = rows.withColumn("rules", judged(F.col("text"), F.col("ratios"), threshold))
     return rows.select(
         *[F.col("row")[c].alias(c) for c in columns], "rules.n_words", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),

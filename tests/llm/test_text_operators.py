@@ -40,7 +40,8 @@ def test_base_counts(spark):
     texts = good + bad + odd
     docs = spark.createDataFrame([(i, t, 1, i, "r") for i, t in enumerate(texts)], "doc_id long, text string, score int, rules long, ratios string")
     trusted = spark.createDataFrame([(i,) for i in range(len(good))], "doc_id long")
-    rows = {r["doc_id"]: r for r in rules.quality_rules(docs, trusted).collect()}
+    # a corpus of 10,000 words: the default strength is that of a target of 130,000
+    rows = {r["doc_id"]: r for r in rules.quality_rules(docs, trusted, strength=1).collect()}
     assert len(rows) == len(texts)
     for i, t in enumerate(texts):
         t, w, r = t or "", _words(t), rows[i]
@@ -57,14 +58,26 @@ def test_base_counts(spark):
 
 
 def test_ratio_by_hand(spark):
-    docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string")
-    trusted = spark.createDataFrame([(1,)], "doc_id long")
-    grams = {1: [("a",), ("b",), ("a",), ("a", "b"), ("b", "a")], 2: [("b",), ("c",), ("b", "c")]}
-    raw, target = Counter(g for x in grams.values() for g in x), Counter(grams[1])
-    ratio = lambda g: math.log((target[g] + 1) / (5 + rules.BUCKETS)) - math.log((raw[g] + 1) / (8 + rules.BUCKETS))
-    got = {r["doc_id"]: r["score"] for r in rules.quality_rules(docs, trusted).collect()}
-    for i, g in grams.items():
-        assert got[i] == pytest.approx(sum(map(ratio, g)) / len(g))
+    texts = {1: "a b a", 2: "b c", 3: "a b c", 4: "c c a", 5: "b a", 6: "a b a", 7: "c", 8: "b b c a"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").union(spark.createDataFrame([(None, "b a")], "doc_id long, text string"))
+    trusted = spark.createDataFrame([(1,), (3,), (5,), (5,), (None,)], "doc_id long")
+    fold = {r["text"]: r["k"] for r in docs.select("text", rules.fold_of(F.col("text")).alias("k")).collect()}
+    assert len(set(fold.values())) > 1
+
+    def grams(t):
+        w = t.split()
+        return [(x,) for x in w] + list(zip(w, w[1:]))
+
+    def score(t):
+        raw = Counter(g for x in [*texts.values(), "b a"] if fold[x] != fold[t] for g in grams(x))
+        target = Counter(g for i in (1, 3, 5) if fold[texts[i]] != fold[t] for g in grams(texts[i]))
+        prior = rules.STRENGTH * rules.BUCKETS
+        share = lambda g: (raw[g] + 1) / (raw.total() + rules.BUCKETS)
+        return sum(math.log((target[g] + prior * share(g)) / (target.total() + prior)) - math.log(share(g)) for g in grams(t)) / len(grams(t))
+
+    for r in rules.quality_rules(docs, trusted).collect():
+        assert r["score"] == pytest.approx(score(r["text"]), rel=1e-6, abs=1e-12)
+    assert {r["score"] for r in rules.quality_rules(docs, trusted.limit(0)).collect()} == {0.0}
     assert rules.quality_rules(docs.limit(0), trusted.limit(0)).count() == 0
 
 
@@ -258,6 +271,15 @@ def test_line_quality(spark):
     assert lines.score_documents(docs.limit(0), lines.fit(docs.limit(0), labels.limit(0))).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no tables")
+def test_rules_keep_labelled_good_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    judged = rules.quality_rules(docs.select("doc_id", "text"), labels.filter("quality = 1")).filter("not base_failed")
+    shares = {r["quality"]: r["kept"] for r in judged.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert shares[1] >= 0.99 and shares[0] <= 0.6
+
+
 # pipeline ---------------------------------------------------------------------------------
 
 SF = "/root/testdata/sf0.001"
