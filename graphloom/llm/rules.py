@@ -135,10 +135,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, strength: float = STRENGTH)
     good = trusted.select("doc_id").distinct().select("doc_id", F.lit(0).alias("salt"), F.lit(1).alias("trusted"))
     salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text") % 4096).otherwise(0).cast("int")
     marked = docs.select("doc_id", "text", salt.alias("salt")).join(good, ["doc_id", "salt"], "left")
-    grams = marked.select(
-        F.explode(_bound(hashed_words(F.col("text")), ngram_buckets)).alias("bucket"),
-        fold_of(F.col("text")).alias("fold"), F.coalesce("trusted", F.lit(0)).alias("trusted"),
-    )
+    # the fold is a column before the explosion: beside it, the whole text would be hashed again for every n-gram
+    folded = marked.select("text", fold_of(F.col("text")).alias("fold"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    grams = folded.select("fold", "trusted", F.explode(_bound(hashed_words(F.col("text")), ngram_buckets)).alias("bucket"))
     counts = grams.filter(F.col("bucket").isNotNull()).groupBy("bucket", "fold").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
     folds = range(FOLDS)
     others = [F.sum(F.when(F.col("fold") != k, F.col(name))).alias(f"{name}_{k}") for k in folds for name in ("raw", "target")]
