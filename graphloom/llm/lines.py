@@ -91,13 +91,18 @@ def _with_neighbours(x: np.ndarray, lines: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> ChainCRF:
-    """The field fitted to ``labels(doc_id, quality)``: at most ``train_docs`` documents a label reach the driver."""
+    """The field fitted to ``labels(doc_id, quality)``: at most ``train_docs`` documents a label reach the driver.
+
+    Of rows that repeat a labelled id, the text first in order stands for it; a null
+    text is an empty one.
+    """
     chosen = None
     for label in (0, 1):
         some = labels.filter(F.col("quality") == label).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
         some = some.withColumn("quality", F.lit(label))
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "quality").toArrow()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id", "quality").toArrow()
     texts, y = rows.column("text").combine_chunks(), rows.column("quality").to_numpy()
     if not len(y):
         texts, y = pa.array(["", ""]), np.array([0, 1])

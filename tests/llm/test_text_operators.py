@@ -271,6 +271,18 @@ def test_line_quality(spark):
     assert lines.score_documents(docs.limit(0), lines.fit(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_training_rows_of_repeated_ids(spark):
+    # one text stands for a labelled id, however many rows repeat it and in whatever order
+    rows = [(i, f"line {i} of prose. and more of it" if i % 2 else "WIN!! $$$ NOW!!") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    again = [(1, "zz later in order"), (2, "zz later in order")] * 50 + [(3, None)]
+    plain = lines.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    repeated = lines.fit(spark.createDataFrame([*again, *rows], "doc_id long, text string"), labels)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = lambda m: [(r["doc_id"], r["score"]) for r in lines.score_documents(docs, m).orderBy("doc_id").collect()]
+    assert scores(plain) == scores(repeated)
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no tables")
 def test_rules_keep_labelled_good_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
