@@ -128,13 +128,14 @@ def judged(text: Column, ratios: Column, threshold: float) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """One row, ``ratios``: for each fold, log(target share / raw share) of each bucket in the other folds.
 
-    ``trusted`` holds the ids of the trusted documents, of any number; Spark's size
-    check decides between a broadcast and a shuffle.  Rows without an id are spread by
-    their text, as they match none.
+    ``trusted`` holds the ids of the trusted documents, of any number, so they are not
+    broadcast: texts and ids meet by a shuffle on the id at every size, hashed on the
+    side of the ids, which no key crowds as they are distinct.  Rows without an id are
+    spread by their text, as they match none.
     """
     good = trusted.select("doc_id").distinct().select("doc_id", F.lit(0).alias("salt"), F.lit(1).alias("trusted"))
     salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text") % 4096).otherwise(0).cast("int")
-    marked = docs.select("doc_id", "text", salt.alias("salt")).join(good, ["doc_id", "salt"], "left")
+    marked = docs.select("doc_id", "text", salt.alias("salt")).join(good.hint("shuffle_hash"), ["doc_id", "salt"], "left")
     # the fold is a column before the explosion: beside it, the whole text would be hashed again for every n-gram
     folded = marked.select("text", fold_of(F.col("text")).alias("fold"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
     grams = folded.select("fold", "trusted", F.explode(_bound(hashed_words(F.col("text")), ngram_buckets)).alias("bucket"))
