@@ -25,14 +25,17 @@ FOLDS = 4
 SMOOTHING = 1.0
 STRENGTH = 16.0
 THRESHOLD = -0.05
-SPACE = "[\\x20\\x09-\\x0D]+"
+WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text; null has none."""
-    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(F.length(inner) > 0, F.split(inner, SPACE)).otherwise(F.array().cast("array<string>"))
+    spaced = F.coalesce(text, F.lit(""))
+    for c in WHITE[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    # one plain character needs no pattern matcher
+    return F.filter(F.split(spaced, " "), lambda x: x != "")
 
 
 def _bound(value: Column, body) -> Column:
@@ -174,7 +177,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     rows = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text")).withColumn("ratios", log_ratios(docs, trusted, strength).scalar())
     rows = rows.withColumn("rules", judged(F.col("text"), F.col("ratios"), threshold))
     return rows.select(
-        *[F.col("row")[c].alias(c) for c in columns], "rules.n_words", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        *[F.col("row")[c].alias(c) for c in columns], "rules.n_words", F.length(F.translate(text, WHITE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         "rules.n_repeat_words", "rules.base_failed", "rules.score", "rules.kept",
