@@ -420,6 +420,12 @@ def seq2group_best(spark, sf_dir):
     return _rounded(placement.best_groups(placement.group_means(_r2(spark, sf_dir), members), members), "mean")
 
 
+@_query()
+def placement_goals(spark, sf_dir):
+    members = _suppliers(spark, sf_dir).withColumn("cluster", F.col("cluster").cast("string"))
+    return placement.goals(_r2(spark, sf_dir), members).select("id", "cluster", "goal", "moves")
+
+
 @_query(f"""WITH {_R2}, b AS (SELECT id, max(round(mean, 12)) AS best FROM means GROUP BY id), s AS (SELECT cluster, count(*) AS size FROM m GROUP BY cluster)
 SELECT id, row_number() OVER (ORDER BY size, coalesce(best, 0) DESC, id)::INTEGER AS place FROM m JOIN s USING (cluster) LEFT JOIN b USING (id)""")
 def placement_order(spark, sf_dir):
