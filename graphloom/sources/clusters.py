@@ -39,3 +39,34 @@ def final_lines(members: DataFrame, scores: DataFrame) -> DataFrame:
     rows = group_lines(members).join(scores, "cluster")
     line = F.concat_ws("\t", "cluster", F.round("score", 4).cast("string"), F.array_join("ids", "\t"))
     return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), "cluster"))).orderBy("rank").select(line.alias("value"))
+
+
+def write_raw_clusters(members: DataFrame, path: str) -> None:
+    """One line of sorted, tab-joined ids per cluster; rows without an id do not count."""
+    ids = members.filter("id is not null").groupBy("cluster").agg(F.array_sort(F.collect_list(F.col("id").cast("string"))).alias("ids"))
+    ids.select(F.array_join("ids", "\t").alias("value")).write.text(path)
+
+
+def exported_records(members: DataFrame, sequences: DataFrame) -> DataFrame:
+    """``cluster, value``: a FASTA record of each member that ``sequences(id, description, seq)`` knows, described as there.
+
+    With aligned sequences this is the export of alignments.  A missing description or
+    sequence is an empty one; members without a record have no row.
+    """
+    known = sequences.select("id", F.coalesce("description", F.lit("")).alias("about"), F.coalesce("seq", F.lit("")).alias("seq"))
+    head = F.rtrim(F.concat(F.lit(">"), F.col("id"), F.lit(" "), F.col("about")))
+    return members.select("cluster", "id").join(known, "id").select("cluster", F.concat(head, F.lit("\n"), "seq").alias("value"))
+
+
+def exported_consensus(members: DataFrame, aligned: DataFrame) -> DataFrame:
+    """``cluster, value``: a FASTA record per cluster of the commonest residue of each column, the smaller one of a tie."""
+    letters = members.select("cluster", "id").join(aligned.select("id", "seq"), "id").select("cluster", F.posexplode(F.split("seq", "")).alias("pos", "residue"))
+    counts = letters.filter("residue != ''").groupBy("cluster", "pos", "residue").agg(F.count("*").alias("n"))
+    top = counts.groupBy("cluster", "pos").agg(F.min(F.struct(-F.col("n"), "residue"))["residue"].alias("residue"))
+    line = top.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "residue"))).alias("row"))
+    return line.select("cluster", F.concat(F.lit(">"), F.col("cluster"), F.lit("\n"), F.array_join(F.transform("row", lambda x: x["residue"]), "")).alias("value"))
+
+
+def write_groups(exported: DataFrame, path: str) -> None:
+    """A folder for each cluster of ``cluster, value``; a cluster of any size is written by as many tasks as hold it."""
+    exported.select("cluster", "value").write.partitionBy("cluster").text(path)
