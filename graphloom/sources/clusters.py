@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -38,7 +37,7 @@ def final_lines(members: DataFrame, scores: DataFrame) -> DataFrame:
     """Lines ``name, score, ids`` by falling size: the final cluster file."""
     rows = group_lines(members).join(scores, "cluster")
     line = F.concat_ws("\t", "cluster", F.round("score", 4).cast("string"), F.array_join("ids", "\t"))
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), "cluster"))).orderBy("rank").select(line.alias("value"))
+    return rows.orderBy(F.desc("size"), "cluster").select(line.alias("value"))
 
 
 def write_raw_clusters(members: DataFrame, path: str) -> None:
