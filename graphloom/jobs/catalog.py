@@ -305,7 +305,7 @@ def mcl_clusters_by_taxon(spark, sf_dir):
 def orthogroups(spark, sf_dir):
     members = _nodes(spark, sf_dir).select("id", "taxon")
     edges = stage(similarity.vector_pairs(_vectors(spark, sf_dir)), "edges")
-    groups = stage(orthogroup_job.orthogroups(members, edges, draws=8), "groups")
+    groups = stage(orthogroup_job.orthogroups(members, edges), "groups")
     return _rounded(orthogroup_job.scored_groups(groups, members), "score")
 
 
