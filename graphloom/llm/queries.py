@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chaining, chat, extraction, lines, minhash, mixing, packing, privacy, projection, rules
+from graphloom.llm import chaining, chat, divergence, extraction, lines, minhash, mixing, packing, privacy, projection, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op11_count_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sorted_projections": op1_sorted_projections,
     "op2_bbit_minhash": op2_bbit_minhash,
@@ -77,4 +81,5 @@ QUERIES = {
     "op8_line_field": op8_line_field,
     "op9_collinear_chaining": op9_collinear_chaining,
     "op10_ngram_ratio": op10_ngram_ratio,
+    "op11_count_cells": op11_count_cells,
 }
