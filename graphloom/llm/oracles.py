@@ -99,4 +99,13 @@ p AS (
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLES = {"op2_bbit_minhash": OP2, "op4_water_filling": OP4, "op7_prefix_target": OP7, "op11_count_cells": OP11}
+OP13 = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, sha1(html) AS digest, strlen(html) AS n FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS first FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to, url AS target_uri
+FROM r
+"""
+
+ORACLES = {"op2_bbit_minhash": OP2, "op4_water_filling": OP4, "op7_prefix_target": OP7, "op11_count_cells": OP11, "op13_transaction_assembly": OP13}
