@@ -33,11 +33,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return staged
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete a table made by :func:`stage` once nothing reads it any more."""
     path = getattr(df, "_staged_at", None)
-    if path is None:
-        return
-    jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
+    if path is not None:
+        delete(df.sparkSession, path)
