@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chaining, chat, divergence, extraction, lines, minhash, mixing, packing, privacy, projection, rules, warc
+from graphloom.llm import chaining, chat, divergence, extraction, lines, minhash, mixing, packing, privacy, projection, rules, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11_count_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_transaction_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -86,5 +90,6 @@ QUERIES = {
     "op9_collinear_chaining": op9_collinear_chaining,
     "op10_ngram_ratio": op10_ngram_ratio,
     "op11_count_cells": op11_count_cells,
+    "op12_spectrum_slicing": op12_spectrum_slicing,
     "op13_transaction_assembly": op13_transaction_assembly,
 }

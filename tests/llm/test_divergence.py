@@ -1,0 +1,71 @@
+"""The divergence audit against plain counting."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+pytest.importorskip("graphloom.llm")
+from graphloom.llm import divergence  # noqa: E402
+
+DOCS = "lang string, source string, text string, term long, value string, `a.b` int"
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+FOLD = {c: c + 32 for c in range(65, 91)}
+
+
+def _audit(rows, min_docs, top):
+    rows = [tuple(x or "" for x in r[:3]) for r in rows]
+    docs, counts, out = defaultdict(Counter), defaultdict(Counter), []
+    for lang, source, text in rows:
+        found = TERM.findall(text.translate(FOLD))
+        docs[lang].update(set(found))
+        counts[lang, source].update(found)
+    for lang in {r[0] for r in rows}:
+        kept = [t for t, n in docs[lang].items() if n >= min_docs]
+        sources = sorted({r[1] for r in rows if r[0] == lang})
+        whole = Counter()
+        for s in sources:
+            whole.update(counts[lang, s])
+
+        def shares(c, kept=kept):
+            size = sum(c[t] for t in kept)
+            return {t: 1 + 10**9 * (c[t] + 2) // (size + 2 * len(kept)) for t in kept}
+
+        p, q = {s: shares(counts[lang, s]) for s in sources}, shares(whole)
+        gap = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in sources:
+            pairs = sorted((-sum(gap(p[s][t], p[o][t]) for t in kept), o.encode(), o) for o in sources if o != s)
+            out += [(lang, s, "pair", o, -v, i + 1) for i, (v, _, o) in enumerate(pairs)]
+            terms = sorted((-gap(p[s][t], q[t]), t.encode(), t) for t in kept if counts[lang, s][t] and p[s][t] > q[t])
+            out += [(lang, s, "term", t, -v, i + 1) for i, (v, _, t) in enumerate(terms[:top])]
+    return sorted(out)
+
+
+def _got(spark, rows, min_docs, top):
+    return sorted(tuple(r) for r in divergence.audit(spark.createDataFrame(rows, DOCS), min_docs, top).collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_counting(spark, seed):
+    rng = random.Random(seed)
+    words = ["ab", "AB", "Äß", "äß", "日本", "x1y", "o'clock", "\U0001d400b", "", "zz", "_", "", "é", "E", "e", "\x7f", "\x80q"] + [f"w{'abcdefghij'[i % 10]}{'klmno'[i // 10]}" for i in range(50)]
+    rows = [(rng.choice(["en", "de", None, ""]), rng.choice(["a", "b", "é", None, "", "c"]), " ".join(rng.choices(words, k=rng.randint(0, 30))) if rng.random() < 0.9 else None, 1, "x", 2) for _ in range(160)]
+    rows += [("en", "a", "same words here " * 40, 0, "", 0)] * 30 + [("one", "only", "alone", 0, "", 0)] * 3 + [("none", s, None, 0, "", 0) for s in "xy"]
+    for min_docs, top in ((3, 10), (10, 4)):
+        assert _got(spark, rows, min_docs, top) == _audit(rows, min_docs, top)
+
+
+def test_ties_expand_in_byte_order(spark):
+    words = ["\U00010000", "￮", "zz", "aa", "éa"]
+    rows = [("l", "s", w, 0, "", 0) for w in words for _ in range(2)] + [("l", "t", "other", 0, "", 0)] * 4
+    got = [r for r in _got(spark, rows, 2, 3) if r[1:3] == ("s", "term")]
+    assert [(r[3], r[5]) for r in sorted(got, key=lambda r: r[5])] == [("aa", 1), ("zz", 2), ("éa", 3)]
+
+
+def test_long_text_and_empty_table(spark):
+    assert _got(spark, [], 1, 10) == []
+    rows = [("l", "s", "long " * 400_000, 0, "", 0), ("l", "t", "long short", 0, "", 0)]
+    assert _got(spark, rows, 1, 10) == _audit(rows, 1, 10)
