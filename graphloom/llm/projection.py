@@ -1,6 +1,7 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Vectors with the same components are one class.  In every pass each class has a key
+Vectors with the same components are one class, numbered apart from their ids, which may
+repeat.  In every pass each class has a key
 of 64 random hyperplane signs; classes are sorted by it (a range-partitioned sort, so
 a dense region is split like any other), and each is compared with the ``WINDOW``
 classes after it in double precision.  A window that reaches over the end of a task's
@@ -254,17 +255,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int |
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
     linkable = F.coalesce(F.col("vec_id").isNotNull() & ~bad & some, F.lit(False))
-    classes = rows.filter(linkable).groupBy("embedding").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies"))
+    classes = rows.filter(linkable).groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     item = vectors.schema["embedding"].dataType.simpleString()
     schema = f"embedding {item}, class long, copies long"
-    keyed = stage(classes, "classes").withColumn("width", F.size("embedding"))
+    keyed = stage(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     if passes is None:
         passes = max(PASSES, passes_for(keyed.count(), threshold=threshold, window=window))
 
     def pairs(turn: int) -> DataFrame:
         """Links that one job of passes finds."""
         n = PASSES_PER_JOB if turn >= jobs else min(PASSES_PER_JOB, passes - turn * PASSES_PER_JOB)
-        rows = keyed.drop("width").mapInArrow(_keyed(n, [seed, turn]), f"{schema}, keys array<long>")
+        rows = keyed.select("embedding", "class", "copies").mapInArrow(_keyed(n, [seed, turn]), f"{schema}, keys array<long>")
         rows = rows.select(F.size("embedding").alias("width"), "class", "embedding", F.posexplode("keys").alias("pass", "key"))
         order = ["width", "pass", "key", "class"]
         ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -305,11 +306,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int |
     blocks = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     counted = blocks.mapInArrow(_counts(threshold), "class long, links long").groupBy("class").agg(F.sum("links").alias("links"))
 
+    # a component bears the smallest id of its vectors
+    of = parts.select(F.col("id").alias("class"), "component")
+    names = keyed.select("class", "first_id").join(of, "class").groupBy("component").agg(F.min("first_id").alias("smallest"))
     named = (
-        keyed.select("embedding", "class", "copies")
-        .join(parts.select(F.col("id").alias("class"), "component"), "class", "left")
+        keyed.select("embedding", "class", "first_id", "copies")
+        .join(of.join(names, "component").select("class", "smallest"), "class", "left")
         .join(counted, "class", "left")
-        .select("embedding", F.coalesce("component", "class").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        .select("embedding", F.coalesce("smallest", "first_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
     linked = rows.filter(linkable).join(named, "embedding").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.filter(~linkable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
