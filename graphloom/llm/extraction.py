@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,8 +85,17 @@ def _raw_end(tag: str) -> re.Pattern:
 
 
 class _Blocks:
+    """The blocks of one page, with what is open kept as counts and places, so that a tag or block costs the same at any depth."""
+
     def __init__(self):
-        self.stack: list[tuple[str, frozenset]] = []
+        self.stack: list[tuple[str, frozenset, bool]] = []
+        self.open: Counter[str] = Counter()
+        self.marks: Counter[str] = Counter()
+        #: Places in the stack, ascending: of block tags, of paragraphs, of what a paragraph's end is not sought beyond, of heads.
+        self.leaves: list[int] = []
+        self.paragraphs: list[int] = []
+        self.walls: list[int] = []
+        self.heads: list[int] = []
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = 0
@@ -120,32 +130,42 @@ class _Blocks:
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            tags = frozenset(t for t, _, _ in self.stack)
-            marks = frozenset().union(*(m for _, m, _ in self.stack)) if self.stack else frozenset()
-            leaf = next((t for t, _, _ in reversed(self.stack) if t in BLOCK_TAGS), "body")
+            tags = frozenset(t for t in TAG_FEATURES if self.open[t])
+            marks = frozenset(m for m in MARKS if self.marks[m])
+            leaf = self.stack[self.leaves[-1]][0] if self.leaves else "body"
             self.blocks.append(Block(text, tags, marks, leaf, min(self.linked, len(text)), self.main))
         self.parts, self.linked = [], 0
 
+    def push(self, tag: str, marks: frozenset, silent: bool) -> None:
+        at = len(self.stack)
+        for places, kept in ((self.leaves, tag in BLOCK_TAGS), (self.paragraphs, tag == "p"), (self.walls, tag in CLOSES_P and tag not in ("p", "li")), (self.heads, tag == "head")):
+            if kept:
+                places.append(at)
+        self.stack.append((tag, marks, silent))
+        self.open[tag] += 1
+        self.marks.update(marks)
+        self.silent += silent
+
     def pop_to(self, at: int) -> None:
-        for _, _, silent in self.stack[at:]:
+        for tag, marks, silent in self.stack[at:]:
             self.silent -= silent
+            self.open[tag] -= 1
+            self.marks.subtract(marks)
         del self.stack[at:]
+        for places in (self.leaves, self.paragraphs, self.walls, self.heads):
+            while places and places[-1] >= at:
+                places.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         # the head's end tag may be left out: body ends it, and so does a block that is in no other silent tag
         if tag == "body" or (tag in BLOCK_TAGS and self.silent == 1):
-            at = next((i for i, (t, _, _) in enumerate(self.stack) if t == "head"), None)
-            if at is not None:
-                self.pop_to(at)
+            if self.heads:
+                self.pop_to(self.heads[0])
         if tag in BLOCK_TAGS:
             self.flush()
             if tag in CLOSES_P:  # an open paragraph, with all that was left open in it, ends here
-                for i in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[i][0] == "p":
-                        self.pop_to(i)
-                        break
-                    if self.stack[i][0] in CLOSES_P and self.stack[i][0] != "li":
-                        break
+                if self.paragraphs and (not self.walls or self.paragraphs[-1] > self.walls[-1]):
+                    self.pop_to(self.paragraphs[-1])
             if tag == "li" and self.stack and self.stack[-1][0] == "li":
                 self.pop_to(len(self.stack) - 1)
         if tag in VOID_TAGS:
@@ -155,10 +175,11 @@ class _Blocks:
         hidden = any(k == "hidden" or (k == "style" and _HIDING.search(v)) for k, v in attrs)
         if hidden and tag not in BLOCK_TAGS and not self.parts:
             self.flush()
-        self.stack.append((tag, frozenset(_MARK_OF[w] for w in words if w in _MARK_OF), tag in SILENT_TAGS or hidden))
-        self.silent += self.stack[-1][2]
+        self.push(tag, frozenset(_MARK_OF[w] for w in words if w in _MARK_OF), tag in SILENT_TAGS or hidden)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 if tag in BLOCK_TAGS or any(t in BLOCK_TAGS for t, _, _ in self.stack[i:]):
