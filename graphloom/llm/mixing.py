@@ -121,7 +121,7 @@ def mix_documents(docs: DataFrame, seed: str = SEED, **rates) -> DataFrame:
     """
     columns = docs.columns
     # input columns travel in a struct, so none can clash with a name used here
-    sized = docs.select(F.struct(*columns).alias("row"), "source", "doc_id", "text", word_count(F.col("text")).alias("size"), ticket(F.col("doc_id"), seed).alias("ticket"))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "source", "doc_id", "text", word_count(F.col("text")).alias("size"), ticket(F.col("doc_id"), seed).alias("ticket"))
     plan = mix_plan(stage(sized.select("source", "size", "ticket"), "sized"), **rates)
     taken = take(sized, plan)
     # an empty document costs no words and is kept once

@@ -174,7 +174,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
     # input columns travel in a struct, so none can clash with a name used here
-    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text")).withColumn("ratios", log_ratios(docs, trusted, strength).scalar())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text").alias("text")).withColumn("ratios", log_ratios(docs, trusted, strength).scalar())
     rows = rows.withColumn("rules", judged(F.col("text"), F.col("ratios"), threshold))
     return rows.select(
         *[F.col("row")[c].alias(c) for c in columns], "rules.n_words", F.length(F.translate(text, WHITE, "")).cast("long").alias("word_chars"),
