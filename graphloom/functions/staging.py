@@ -23,11 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/") + "/graphloom"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and return the table that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._staged_at = path
     return staged
