@@ -90,7 +90,7 @@ def _keyed(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     keyed = pages.select("page_id", _uri(F.col("url").cast("string")).alias("url"), html.alias("html"), F.monotonically_increasing_id().alias("row_key"))
     keyed = keyed.withColumns({"digest": F.sha1("html"), "equal_to": F.sha2("html", 256), "n_bytes": F.octet_length("html").cast("long")})
-    return stage(keyed.withColumn("record_id", _record_id("response")), "pages")
+    return stage(keyed.withColumn("record_id", _record_id("response")), "pages", compression="zstd")
 
 
 def marked_revisits(keyed: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
