@@ -19,6 +19,7 @@ from graphloom.functions import columns as C
 from graphloom.functions.staging import stage
 from graphloom.jobs import orthogroups as orthogroup_job
 from graphloom.operators import compare, graph, mcl, mcmc, placement, scoring, similarity
+from graphloom.operators.chains import LEAST_SAMPLES
 from graphloom.streaming import heartbeat
 
 #: Edges of the sparse graphs: cosine from here up.
@@ -301,11 +302,24 @@ def mcl_clusters_by_taxon(spark, sf_dir):
     return mcl.clusters_by_group(graphs)
 
 
+@_query()
+def mcl_graphs(spark, sf_dir):
+    """Each label's graph at three pairs of parameters: thirty graphs in one job."""
+    own = graph.induced(_edges(spark, sf_dir), _nodes(spark, sf_dir).select("id", F.col("taxon").alias("cluster")))
+    edges = stage(own.select("cluster", "seq1", "seq2", F.col("subsmat").alias("score")), "edges")
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("inflation"), F.lit(t).alias("threshold")) for i, t in ((1.5, 0.1), (INFLATION, 0.2), (6.0, 0.3))]))
+    params = edges.select("cluster").distinct().withColumn("pair", pairs).select("cluster", "pair.*")
+    params = params.withColumn("graph", F.concat_ws("|", F.col("cluster").cast("string"), F.col("inflation").cast("string")))
+    keys = params.select("cluster", "graph")
+    nodes = _nodes(spark, sf_dir).select("id", F.col("taxon").alias("cluster")).join(keys, "cluster").select("graph", "id")
+    return mcl.clusters_of_graphs(edges.join(keys, "cluster").select("graph", "seq1", "seq2", "score"), params.select("graph", "inflation", "threshold"), nodes)
+
+
 @_query()
 def orthogroups(spark, sf_dir):
     members = _nodes(spark, sf_dir).select("id", "taxon")
     edges = stage(similarity.vector_pairs(_vectors(spark, sf_dir)), "edges")
-    groups = stage(orthogroup_job.orthogroups(members, edges), "groups")
+    groups = stage(orthogroup_job.orthogroups(members, edges, steps=LEAST_SAMPLES), "groups")
     return _rounded(orthogroup_job.scored_groups(groups, members), "score")
 
 

@@ -59,7 +59,7 @@ def test_orthogroups(spark):
     rows = [(a, b, float(1 / (1 + np.linalg.norm(families[a] - families[b]))), 0.5 + 0.01 * float(rng.random())) for i, a in enumerate(ids) for b in ids[i + 1 :]]
     edges = spark.createDataFrame(rows, "seq1 string, seq2 string, subsmat double, psi double")
     members = spark.createDataFrame([(i, i.split("-")[0]) for i in ids], "id string, taxon string")
-    groups = orthogroups.orthogroups(members, edges, draws=25)
+    groups = orthogroups.orthogroups(members, edges, steps=10)
     got = {frozenset(r["ids"]) for r in groups.groupBy("cluster").agg(F.collect_list("id").alias("ids")).collect()}
     assert got == {frozenset(i for i in ids if i.endswith(f)) for f in "abc"}
     assert orthogroups.scored_groups(groups, members).count() == 3
