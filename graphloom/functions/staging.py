@@ -9,6 +9,8 @@ laptop) a folder below the warehouse is used.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/") + "/graphloom"
 
 
+_noting: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of all tables that are staged meanwhile."""
+    paths: list[str] = []
+    _noting.append(paths)
+    try:
+        yield paths
+    finally:
+        _noting.remove(paths)
+
+
 def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and return the table that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    for paths in _noting:
+        paths.append(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._staged_at = path
     return staged
