@@ -1,0 +1,35 @@
+"""Roots of random forests with circles against a plain walk."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from graphloom.operators.tree import roots
+
+
+def _walk(parent, i):
+    steps, seen = 0, {i}
+    while True:
+        up = parent[i]
+        if up is None or up not in parent:
+            return i, steps
+        if up in seen:
+            return None, None
+        seen.add(up)
+        i, steps = up, steps + 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_forests(spark, seed):
+    rng = random.Random(seed)
+    parent = {i: (None if rng.random() < 0.05 else rng.randrange(0, i + 2 if rng.random() < 0.97 else 330)) for i in range(300)}
+    parent |= {i: i - 1 for i in range(1001, 1080)} | {1000: None, 2000: 2001, 2001: 2002, 2002: 2000, 2003: 2001, 2004: 2004, 2005: 2004}
+    table = spark.createDataFrame(list(parent.items()), "id long, parent long")
+    got = {r["id"]: (r["root"], r["depth"]) for r in roots(table).collect()}
+    assert got == {i: _walk(parent, i) for i in parent}
+
+
+def test_empty(spark):
+    assert roots(spark.createDataFrame([], "id long, parent long")).count() == 0
