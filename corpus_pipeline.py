@@ -1,17 +1,19 @@
 """The corpus pipeline: rules, near duplicates, privacy, mixing, packing.
 
 Each stage reads what the stage before wrote, works on all of it, and all but the last
-return the columns of ``documents``.
+return the columns of ``documents``.  What a stage has staged for itself is deleted when the
+next one begins, as its result has been written by then.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.staging import stage
+from graphloom.functions.staging import delete, drop_staged, noted, stage
 from graphloom.llm import minhash, mixing, packing, privacy, rules
 
 
@@ -90,7 +92,30 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs.select("doc_id", "text"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+#: Tables that a stage has staged for itself, by application and stage.
+_left: dict[tuple[str, int], list[str]] = {}
+
+
+def _tidied(number: int, step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage of this number, after what the one before it left is deleted, but for tables that ``docs`` still reads."""
+
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        left = _left.pop((app, number - 1), [])
+        read = docs.inputFiles() if left else []
+        for path in left:
+            if not any(path.rsplit("/", 1)[-1] in f for f in read):
+                delete(spark, path)
+        with noted() as paths:
+            out = step(spark, docs, sf_dir)
+        _left[app, number] = paths
+        return out
+
+    return run
+
+
+_STEPS: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_stage),
     ("MinHash near-dedup", dedup_stage),
     ("PII", privacy_stage),
@@ -98,6 +123,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packing_stage),
 ]
 
+STAGES = [(name, _tidied(k, step)) for k, (name, step) in enumerate(_STEPS)]
+
 #: Hashing, tokenising and pattern search are not SQL; a test holds run() against a plain Python version of the stages.
 ORACLE_SQL = None
 
@@ -106,5 +133,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over ``documents``, each result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_staged(before)
     return STAGES[-1][1](spark, docs, sf_dir)
