@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -96,29 +97,47 @@ def residues(aligned: DataFrame) -> DataFrame:
     return aligned.select("id", F.posexplode(F.filter(F.split("seq", ""), lambda x: x != "")).alias("pos", "residue"))
 
 
+def _letter_table(matrix: DataFrame) -> Column:
+    """The residues of ``matrix`` in order, and the values of all ordered pairs of them row by row: one constant of residues squared."""
+    letters = matrix.select(F.col("a").alias("x")).distinct()
+    pairs = letters.crossJoin(letters.withColumnRenamed("x", "y"))  # residues squared: an alphabet's
+    values = pairs.join(matrix.select(F.col("a").alias("x"), F.col("b").alias("y"), "value"), ["x", "y"], "left")
+    rows = F.array_sort(F.collect_list(F.struct("x", "y", F.col("value").cast("double").alias("v"))))
+    one = values.agg(rows.alias("rows")).select(F.struct(F.array_sort(F.array_distinct(F.col("rows.x"))).alias("letters"), F.col("rows.v").alias("values")).alias("t"))
+    return one.scalar()
+
+
 def alignment_scores(pairs: DataFrame, matrix: DataFrame, gap_open: float = GAP_OPEN, gap_extend: float = GAP_EXTEND, gap: str = "-") -> DataFrame:
-    """Score of each pair of equally long gapped strings.
+    """``pair, score`` of each pair of equally long gapped strings.
 
-    ``pairs`` has ``pair, seq1, seq2``; ``matrix`` has ``a, b, value`` for every ordered
-    pair of residues.  A column with a gap costs ``gap_open`` where the column before had
-    none and ``gap_extend`` elsewhere, so a leading gap extends.  The sum per column is
-    set against each string's score with itself, and both ratios are averaged.
+    ``pairs`` has ``pair, seq1, seq2``; ``matrix`` has ``a, b, value`` for ordered pairs of
+    residues.  A column with a gap costs ``gap_open`` where the column before had none and
+    ``gap_extend`` elsewhere, so a leading gap extends.  The sum per column is set against
+    each string's score with itself, and both ratios are averaged.  Each pair is one walk
+    over its two strings; nothing is shuffled.
     """
+    zero, none = F.lit(0.0), F.lit(0).cast("long")
     chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    zipped = pairs.select("pair", F.posexplode(F.arrays_zip(chars("seq1").alias("x"), chars("seq2").alias("y"))).alias("pos", "c"))
-    columns = zipped.select("pair", "pos", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
-    columns = columns.withColumn("gap", (F.col("x") == gap) | (F.col("y") == gap))
-    order = W.partitionBy("pair").orderBy("pos")
-    columns = columns.withColumn("before", F.lag("gap", 1, True).over(order))
-    scored = (
-        columns.join(matrix.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("value").alias("both")), ["x", "y"], "left")
-        .join(matrix.filter("a = b").select(F.col("a").alias("x"), F.col("value").alias("own_x")), "x", "left")
-        .join(matrix.filter("a = b").select(F.col("a").alias("y"), F.col("value").alias("own_y")), "y", "left")
-    )
-    cost = F.when(F.col("gap"), F.when(F.col("before"), F.lit(gap_extend)).otherwise(F.lit(gap_open))).otherwise(F.col("both"))
-    own = lambda c, v: F.try_divide(F.sum(F.when(F.col(c) != gap, F.col(v))), F.count_if(F.col(c) != gap))
-    sums = scored.groupBy("pair").agg((F.sum(cost) / F.count("*")).alias("seen"), own("x", "own_x").alias("best_1"), own("y", "own_y").alias("best_2"))
-    return sums.select("pair", ((F.try_divide("seen", "best_1") + F.try_divide("seen", "best_2")) / 2).alias("score"))
+    table = pairs.select("pair", F.arrays_zip(chars("seq1").alias("x"), chars("seq2").alias("y")).alias("columns")).withColumn("t", _letter_table(matrix))
+    place = lambda c: F.array_position("t.letters", c)
+    value = lambda x, y: F.get("t.values", ((place(x) - 1) * F.size("t.letters") + place(y) - 1).cast("int"))
+    known = lambda x, y: F.when((place(x) > 0) & (place(y) > 0), F.coalesce(value(x, y), zero)).otherwise(zero)
+
+    def step(acc: Column, c: Column) -> Column:
+        x, y = c["x"], c["y"]
+        gapped = (x == gap) | (y == gap)
+        cost = F.when(gapped, F.when(acc["gap"], F.lit(float(gap_extend))).otherwise(F.lit(float(gap_open)))).otherwise(known(x, y))
+        own = [(F.when(z != gap, known(z, z)).otherwise(zero), (z != gap).cast("long")) for z in (x, y)]
+        parts = [(acc["seen"] + cost).alias("seen"), gapped.alias("gap")]
+        for k, (v, n) in enumerate(own):
+            parts += [(acc[f"own{k}"] + v).alias(f"own{k}"), (acc[f"n{k}"] + n).alias(f"n{k}")]
+        return F.struct(*parts)
+
+    start = F.struct(zero.alias("seen"), F.lit(True).alias("gap"), zero.alias("own0"), none.alias("n0"), zero.alias("own1"), none.alias("n1"))
+    sums = table.select("pair", F.size("columns").alias("n"), F.aggregate("columns", start, step).alias("s"))
+    seen = F.try_divide("s.seen", "n")
+    ratio = lambda k: F.try_divide(seen, F.try_divide(F.col(f"s.own{k}"), F.col(f"s.n{k}")))
+    return sums.select("pair", ((ratio(0) + ratio(1)) / 2).alias("score"))
 
 
 def profile_scores(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -156,23 +175,37 @@ def reindexed_profiles(profiles: DataFrame, aligned: DataFrame, kept: DataFrame
     return moved if kept is None else moved.join(kept.select(F.col("pos").alias("indx")), "indx", "left_semi")
 
 
-def gap_trimmed(aligned: DataFrame, threshold: float) -> DataFrame:
-    """Columns ``pos`` of an alignment whose share of gaps is at most one minus the threshold."""
-    share = residues(aligned).groupBy("pos").agg(F.avg((F.col("residue") == "-").cast("double")).alias("gaps"))
-    return share.filter(F.col("gaps") <= 1 - threshold).select("pos")
+def gap_limit(trim: float | str) -> float:
+    """The largest share of gaps that a column may have: ``all`` lets none through, ``clean`` only drops columns of nothing else."""
+    return {"all": 0.0, "clean": math.nextafter(1.0, 0.0)}.get(trim, trim)
+
 
+def column_gaps(aligned: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``by, pos, gaps``: the share of gaps in each column of every alignment ``by, id, seq``."""
+    by = by or []
+    rows = aligned.select(*by, F.posexplode(F.filter(F.split("seq", ""), lambda x: x != "")).alias("pos", "residue"))
+    return rows.groupBy(*by, "pos").agg(F.avg((F.col("residue") == "-").cast("double")).alias("gaps"))
 
-def first_usable_trim(aligned: DataFrame, thresholds: Iterable[float], least_ratio: float = 0.5) -> float | None:
-    """The first threshold that empties no sequence and keeps half of the mean length."""
-    long = residues(aligned).filter("residue != '-'")
-    before = long.count()
-    members = aligned.count()
-    for threshold in thresholds:
-        left = long.join(gap_trimmed(aligned, threshold), "pos", "left_semi").groupBy("id").count()
-        sizes = left.agg(F.count("*").alias("ids"), F.sum("count").alias("n")).first()
-        if sizes["ids"] == members and (sizes["n"] or 0) >= least_ratio * before:
-            return threshold
-    return None
+
+def trimmed_columns(aligned: DataFrame, trims: Iterable[float | str], by: list[str] | None = None, least_ratio: float = 0.5) -> DataFrame:
+    """``by, pos`` of the columns that the first usable trim of each alignment leaves, all of them where none is usable.
+
+    A trim is usable if no string loses all its residues and the mean length stays at
+    ``least_ratio`` of what it was or more.  All trims are tried in one pass: each string's
+    length under each of them is a sum.
+    """
+    by, limits = by or [], [gap_limit(t) for t in trims]
+    shares = column_gaps(aligned, by)
+    rows = aligned.select(*by, "id", F.posexplode(F.filter(F.split("seq", ""), lambda x: x != "")).alias("pos", "residue"))
+    long = rows.join(shares, [*by, "pos"])
+    real = (F.col("residue") != "-").cast("long")
+    kept = [F.sum(F.when(F.col("gaps") <= limit, real).otherwise(0)).alias(f"n{k}") for k, limit in enumerate(limits)]
+    lengths = long.groupBy(*by, "id").agg(F.sum(real).alias("n"), *kept)
+    usable = [((F.min(f"n{k}") > 0) & (F.sum(f"n{k}") >= least_ratio * F.sum("n"))) for k in range(len(limits))]
+    first = F.coalesce(*[F.when(u, F.lit(limit)) for u, limit in zip(usable, limits, strict=True)], F.lit(1.0))
+    chosen = lengths.groupBy(*by).agg(first.alias("limit"))
+    joined = shares.join(chosen, by) if by else shares.crossJoin(F.broadcast(chosen))  # one row
+    return joined.filter(F.col("gaps") <= F.col("limit")).select(*by, "pos")
 
 
 def consensus(aligned: DataFrame) -> DataFrame:
