@@ -9,6 +9,7 @@ Every query reads its whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
-from graphloom.functions.staging import stage
+from graphloom.functions import density
+from graphloom.functions.staging import shared_dir, stage
 from graphloom.jobs import orthogroups as orthogroup_job
-from graphloom.operators import compare, graph, mcl, mcmc, placement, scoring, similarity
+from graphloom.operators import cliques, compare, graph, mcl, mcmc, placement, scoring, similarity, tree
 from graphloom.operators.chains import LEAST_SAMPLES
+from graphloom.sources import progress, store
 from graphloom.streaming import heartbeat
 
 #: Edges of the sparse graphs: cosine from here up.
@@ -182,6 +185,52 @@ def qualified_cliques(spark, sf_dir):
     return graph.qualified_cliques(reach.withColumnRenamed("start", "clique"), nodes.select("id", "taxon"), nodes.count())
 
 
+_OWN = f"""{_PAIRS}, own AS (SELECT a.cluster, e.seq1, e.seq2, e.raw_score AS score FROM edges e JOIN v a ON a.id = seq1 JOIN v b ON b.id = seq2 AND a.cluster = b.cluster),
+both_ends AS (SELECT cluster, seq1 AS src, seq2 AS dst, score FROM own UNION ALL SELECT cluster, seq2, seq1, score FROM own)"""
+
+
+def _own_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges inside the clusters, with the raw score as their score."""
+    inside = graph.induced(_edges(spark, sf_dir), _nodes(spark, sf_dir).select("id", "cluster"))
+    return stage(inside.select("cluster", "seq1", "seq2", F.col("raw_score").alias("score")), "own")
+
+
+@_query(f"""WITH RECURSIVE {_OWN}, top AS (SELECT cluster, src, max(score) AS best FROM both_ends GROUP BY ALL),
+hits AS (SELECT b.cluster, b.src, b.dst FROM both_ends b JOIN top t ON t.cluster = b.cluster AND t.src = b.src AND t.best = b.score),
+kin AS (SELECT cluster, taxon FROM v GROUP BY ALL HAVING count(*) > 1), starts AS (SELECT v.* FROM v JOIN kin USING (cluster, taxon)),
+reach AS (SELECT cluster, id AS start, taxon, id FROM starts UNION SELECT r.cluster, r.start, r.taxon, h.dst FROM reach r JOIN hits h ON h.cluster = r.cluster AND h.src = r.id),
+sizes AS (SELECT cluster, count(*) AS size FROM v GROUP BY cluster), counts AS (SELECT cluster, start, taxon, count(*) AS n FROM reach GROUP BY ALL),
+filled AS (SELECT DISTINCT cluster FROM counts JOIN sizes USING (cluster) WHERE n = size OR size < 6),
+clash AS (SELECT DISTINCT a.cluster, a.start FROM reach a JOIN reach b ON a.cluster = b.cluster AND a.taxon = b.taxon AND a.id = b.id AND a.start <> b.start)
+SELECT r.cluster, r.start, r.taxon, r.id FROM reach r JOIN counts c ON c.cluster = r.cluster AND c.start = r.start
+WHERE n >= 3 AND r.cluster NOT IN (SELECT cluster FROM filled) AND NOT EXISTS (SELECT 1 FROM clash k WHERE k.cluster = r.cluster AND k.start = r.start)""")
+def clique_candidates(spark, sf_dir):
+    return cliques.candidates(_own_edges(spark, sf_dir), _nodes(spark, sf_dir).select("cluster", "id", "taxon"))
+
+
+@_query()
+def clique_split(spark, sf_dir):
+    return cliques.split_off(_own_edges(spark, sf_dir), _nodes(spark, sf_dir).select("cluster", "id", "taxon"))
+
+
+@_query(f"""WITH {_OWN} SELECT cluster, count(*) AS n, round(var_samp(score) * pow(count(*) * 0.75e0, -0.4e0), 9) AS variance,
+round(quantile_cont(score, 0.025), 6) AS low, round(quantile_cont(score, 0.975), 6) AS high FROM own GROUP BY cluster""")
+def score_densities(spark, sf_dir):
+    """Kernel width and middle range of each cluster's scores."""
+    values = _own_edges(spark, sf_dir).select("cluster", F.col("score").alias("value"))
+    widths = density.widths(values, ["cluster"]).withColumn("variance", F.round("variance", 9))
+    return _rounded(widths.join(density.percentiles(values, ["cluster"], 2.5, 97.5), "cluster"), "low", "high")
+
+
+@_query("""WITH RECURSIVE tree AS (SELECT c_custkey AS id, CASE WHEN c_custkey // 10 > 0 THEN c_custkey // 10 END AS parent FROM customer),
+up AS (SELECT id, id AS node, 0 AS depth FROM tree UNION ALL SELECT up.id, t.parent, depth + 1 FROM up JOIN tree t ON t.id = up.node WHERE t.parent IN (SELECT id FROM tree))
+SELECT id, arg_max(node, depth) AS root, max(depth)::BIGINT AS depth FROM up GROUP BY id""")
+def cluster_roots(spark, sf_dir):
+    """Customers as a tree, the parent of each the one whose key lacks the last digit."""
+    above = F.expr("c_custkey div 10")
+    return tree.roots(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(above > 0, above).alias("parent")))
+
+
 # clusters and their scores ----------------------------------------------------------------
 
 
@@ -565,8 +614,26 @@ SELECT * FROM old UNION ALL SELECT * FROM new WHERE hash NOT IN (SELECT hash FRO
 def cache_upsert(spark, sf_dir):
     rows = _t(spark, sf_dir, "customer")
     old = rows.filter("c_custkey % 2 = 0").select(F.md5("c_name").alias("hash"), F.col("c_acctbal").alias("score"))
-    new = rows.select(F.md5("c_name").alias("hash"), (-F.col("c_acctbal")).alias("score"))
-    return old.unionByName(new.join(old.select("hash"), "hash", "left_anti"))
+    return store.insert_or_ignore(old, rows.select(F.md5("c_name").alias("hash"), (-F.col("c_acctbal")).alias("score")))
+
+
+@_query("SELECT o_orderstatus AS state, count(*) AS rows, min(o_orderkey) AS first_key, count(*) FILTER (o_totalprice > 100000) AS large FROM orders GROUP BY o_orderstatus")
+def step_totals(spark, sf_dir):
+    """Totals of each state's orders, observed while they are written and read back as JSON."""
+    base, orders = f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}", _t(spark, sf_dir, "orders")
+    found = []
+    for state in sorted(r["o_orderstatus"] for r in orders.select("o_orderstatus").distinct().collect()):  # a handful of states
+        path = f"{base}/{state}"
+        progress.write_counted(orders.filter(F.col("o_orderstatus") == state), path, rows=F.count("*"), first_key=F.min("o_orderkey"), large=F.count_if(F.col("o_totalprice") > 100000))
+        found.append((state, *progress.read_totals(spark, path).values()))
+    return spark.createDataFrame(found, "state string, rows long, first_key long, large long")
+
+
+@_query("""WITH s AS (SELECT p_partkey AS id, replace(p_name, ' ', '-') AS seq FROM part), n AS (SELECT max(length(seq)) AS n FROM s), c AS (SELECT unnest(range(1, length(seq) + 1)) AS pos, seq FROM s)
+SELECT pos - 1 AS pos, round(avg((seq[pos] = '-')::INT), 9) AS gaps FROM c GROUP BY pos""")
+def column_gaps(spark, sf_dir):
+    names = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.translate("p_name", " ", "-").alias("seq"))
+    return similarity.column_gaps(names).withColumns({"gaps": F.round("gaps", 9)})
 
 
 @_query("""SELECT p_size, l_tax, o_orderpriority, r::INTEGER AS replicate FROM (SELECT DISTINCT p_size FROM part), (SELECT DISTINCT l_tax FROM lineitem), (SELECT DISTINCT o_orderpriority FROM orders), range(3) t(r)""")

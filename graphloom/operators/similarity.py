@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import min_max
 
-BLOCK = 1024
+BLOCK, LEAST_BLOCK = 1024, 64
 GAP_OPEN, GAP_EXTEND = -5.0, 0.0
 PROFILE_SHARE, MATRIX_SHARE = 0.3, 0.7
 
 
 def block_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """``rows`` with ``i, j, at``: dealt to blocks ``at`` by ``id``, each row once for every block it meets, as pairs i <= j of blocks."""
-    count = max(1, -(-rows.count() // block))
+    """``rows`` with ``i, j, at``: dealt to blocks ``at`` by ``id``, each row once for every block it meets, as pairs i <= j of blocks.
+
+    Blocks have ``block`` rows, or fewer where there would be less than two pairs of blocks
+    for every core, but ``LEAST_BLOCK`` at least.
+    """
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    count = max(1, -(-n // block), min(-(-n // LEAST_BLOCK), math.ceil(math.sqrt(4 * cores))))
     dealt = rows.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     return dealt.withColumn("i", F.least("at", "k")).withColumn("j", F.greatest("at", "k")).drop("k")
 
