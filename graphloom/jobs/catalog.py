@@ -290,8 +290,8 @@ def cluster_size_filter(spark, sf_dir):
 
 @_query("SELECT c_custkey AS cluster FROM customer WHERE c_custkey NOT IN (SELECT c_custkey // 10 FROM customer WHERE c_custkey > 0)")
 def leaf_clusters(spark, sf_dir):
-    tree = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cluster"), F.when(F.col("c_custkey") > 0, F.expr("c_custkey div 10")).alias("parent"))
-    return tree.join(tree.filter("parent is not null").select(F.col("parent").alias("cluster")), "cluster", "left_anti").select("cluster")
+    parent = F.when(F.col("c_custkey") > 0, F.expr("c_custkey div 10"))
+    return tree.leaves(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), parent.alias("parent"))).select(F.col("id").alias("cluster"))
 
 
 @_query("SELECT row_number() OVER (ORDER BY count(*) DESC, c_nationkey)::INTEGER AS rank, c_nationkey AS cluster, count(*) AS size FROM customer GROUP BY c_nationkey")

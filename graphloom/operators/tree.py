@@ -37,3 +37,9 @@ def roots(tree: DataFrame, max_rounds: int = 64) -> DataFrame:
     out = now.join(ends, "up", "left")
     fine = F.col("ends") & (F.col("depth") < size)
     return out.select("id", F.when(fine, F.col("up")).alias("root"), F.when(fine, F.col("depth")).alias("depth"))
+
+
+def leaves(tree: DataFrame) -> DataFrame:
+    """``id`` of the nodes that are no node's parent."""
+    above = tree.filter("parent is not null").select(F.col("parent").alias("id")).distinct()
+    return tree.select("id").join(above, "id", "left_anti")

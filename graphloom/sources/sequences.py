@@ -59,3 +59,26 @@ def read_scores(spark: SparkSession, path: str, schema: str = EDGE_SCHEMA, separ
 
 def write_scores(edges: DataFrame, path: str, separator: str = ",") -> None:
     edges.write.csv(path, sep=separator, header=False)
+
+
+def write_fasta(sequences: DataFrame, path: str) -> None:
+    """Records of ``id, seq`` as FASTA; with a ``description`` that follows the id."""
+    about = F.coalesce("description", F.lit("")) if "description" in sequences.columns else F.lit("")
+    head = F.rtrim(F.concat(F.lit(">"), F.col("id"), F.lit(" "), about))
+    sequences.select(F.concat(head, F.lit("\n"), F.coalesce("seq", F.lit(""))).alias("value")).write.text(path)
+
+
+def write_profiles(profiles: DataFrame, path: str) -> None:
+    """Rows of profiles, separated by blanks and in order of their index, in a folder for each id.
+
+    A profile is sorted in the task that writes it; one is as long as its sequence.
+    """
+    names = ["indx", "aa", "ss", "coil_prob", "helix_prob", "sheet_prob"]
+    line = F.concat_ws(" ", *[F.col(n).cast("string") for n in names])
+    dealt = profiles.repartition("id").sortWithinPartitions("id", "indx")
+    dealt.select("id", line.alias("value")).write.partitionBy("id").text(path)
+
+
+def by_length(sequences: DataFrame) -> DataFrame:
+    """Records from the longest to the shortest, equal ones by id."""
+    return sequences.orderBy(F.desc(F.length(F.regexp_replace("seq", "-", ""))), "id")
