@@ -97,7 +97,7 @@ _SCALED = """round(0.3e0 * (psi - min(psi) OVER w) / nullif(max(psi) OVER w - mi
 
 @_query(f"WITH {_PAIRS} SELECT seq1, seq2, round(raw_score, 6) AS raw_score, {_SCALED} FROM edges WINDOW w AS ()")
 def sim_minmax(spark, sf_dir):
-    scored = similarity.with_final_scores(similarity.vector_pairs(_vectors(spark, sf_dir)))
+    scored = similarity.with_final_scores(stage(similarity.vector_pairs(_vectors(spark, sf_dir)), "pairs"))
     return _rounded(scored.withColumn("raw_score", F.round("raw_score", 9)), "raw_score", "score").select("seq1", "seq2", "raw_score", "score")
 
 
@@ -105,7 +105,7 @@ def sim_minmax(spark, sf_dir):
 SELECT taxon, seq1, seq2, {_SCALED} FROM own WINDOW w AS (PARTITION BY taxon)""")
 def sim_minmax_by_taxon(spark, sf_dir):
     own = graph.induced(similarity.vector_pairs(_vectors(spark, sf_dir)), _nodes(spark, sf_dir).select("id", F.col("taxon").alias("cluster")))
-    scored = similarity.with_final_scores(own.withColumnRenamed("cluster", "taxon"), ["taxon"])
+    scored = similarity.with_final_scores(stage(own.withColumnRenamed("cluster", "taxon"), "pairs"), ["taxon"])
     return _rounded(scored, "score").select("taxon", "seq1", "seq2", "score")
 
 
@@ -312,7 +312,8 @@ m{n} AS (SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM e{n})"""
 
 
 def _start(spark, sf_dir) -> DataFrame:
-    return mcl.transition_matrix(_edges(spark, sf_dir, NEAR), NEAR, "subsmat")
+    edges = stage(_edges(spark, sf_dir, NEAR).select("seq1", "seq2", "subsmat"), "near")
+    return mcl.transition_matrix(edges, NEAR, "subsmat")
 
 
 @_query(f"WITH {_MCL} SELECT i, j, round(w, 6) AS w FROM m0")
@@ -322,7 +323,7 @@ def mcl_init(spark, sf_dir):
 
 @_query(f"WITH {_MCL}, {_mcl_step(1)} SELECT i, j, round(w, 6) AS w FROM m1 WHERE w > 1e-4")
 def mcl_step(spark, sf_dir):
-    return _rounded(mcl.mcl_step(_start(spark, sf_dir), INFLATION).filter("w > 1e-4"), "w")
+    return _rounded(mcl.mcl_step(stage(_start(spark, sf_dir), "mcl"), INFLATION).filter("w > 1e-4"), "w")
 
 
 @_query(f"WITH {_MCL}, {_mcl_step(1)}, {_mcl_step(2)}, {_mcl_step(3)} SELECT i, j, round(w, 6) AS w FROM m3 WHERE w > 1e-4")
@@ -389,6 +390,8 @@ def align_score(spark, sf_dir):
     chars = docs.select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).filter("c != '' and c != ' '").distinct()
     both = chars.select(F.col("c").alias("a"), F.lit(1).alias("_1")).join(chars.select(F.col("c").alias("b"), F.lit(1).alias("_1")), "_1")
     matrix = both.select("a", "b", F.when(F.col("a") == F.col("b"), 4.0).otherwise(-1.0).alias("value"))
+    # the work is in the letters: small tables go to all cores
+    pairs = pairs.repartition(4 * spark.sparkContext.defaultParallelism, "pair")
     return _rounded(similarity.alignment_scores(pairs, matrix, gap=" "), "score")
 
 

@@ -122,20 +122,19 @@ def alignment_scores(pairs: DataFrame, matrix: DataFrame, gap_open: float = GAP_
     over its two strings; nothing is shuffled.
     """
     zero, none = F.lit(0.0), F.lit(0).cast("long")
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    table = pairs.select("pair", F.arrays_zip(chars("seq1").alias("x"), chars("seq2").alias("y")).alias("columns")).withColumn("t", _letter_table(matrix))
-    place = lambda c: F.array_position("t.letters", c)
-    value = lambda x, y: F.get("t.values", ((place(x) - 1) * F.size("t.letters") + place(y) - 1).cast("int"))
-    known = lambda x, y: F.when((place(x) > 0) & (place(y) > 0), F.coalesce(value(x, y), zero)).otherwise(zero)
+    # a residue as its place among the letters, 0 for an unknown one and -1 for a gap
+    places = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.when(x == gap, -1).otherwise(F.array_position("t.letters", x)).cast("int"))
+    table = pairs.select("pair", "seq1", "seq2").withColumn("t", _letter_table(matrix))
+    table = table.select("pair", "t", F.arrays_zip(places("seq1").alias("x"), places("seq2").alias("y")).alias("columns"))
+    value = lambda x, y: F.when((x > 0) & (y > 0), F.coalesce(F.get("t.values", (x - 1) * F.size("t.letters") + y - 1), zero)).otherwise(zero)
 
     def step(acc: Column, c: Column) -> Column:
         x, y = c["x"], c["y"]
-        gapped = (x == gap) | (y == gap)
-        cost = F.when(gapped, F.when(acc["gap"], F.lit(float(gap_extend))).otherwise(F.lit(float(gap_open)))).otherwise(known(x, y))
-        own = [(F.when(z != gap, known(z, z)).otherwise(zero), (z != gap).cast("long")) for z in (x, y)]
+        gapped = (x < 0) | (y < 0)
+        cost = F.when(gapped, F.when(acc["gap"], F.lit(float(gap_extend))).otherwise(F.lit(float(gap_open)))).otherwise(value(x, y))
         parts = [(acc["seen"] + cost).alias("seen"), gapped.alias("gap")]
-        for k, (v, n) in enumerate(own):
-            parts += [(acc[f"own{k}"] + v).alias(f"own{k}"), (acc[f"n{k}"] + n).alias(f"n{k}")]
+        for k, z in enumerate((x, y)):
+            parts += [(acc[f"own{k}"] + value(z, z)).alias(f"own{k}"), (acc[f"n{k}"] + (z >= 0).cast("long")).alias(f"n{k}")]
         return F.struct(*parts)
 
     start = F.struct(zero.alias("seen"), F.lit(True).alias("gap"), zero.alias("own0"), none.alias("n0"), zero.alias("own1"), none.alias("n1"))
