@@ -125,7 +125,7 @@ _STEPS: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 STAGES = [(name, _tidied(k, step)) for k, (name, step) in enumerate(_STEPS)]
 
-#: Hashing, tokenising and pattern search are not SQL; a test holds run() against a plain Python version of the stages.
+#: Hashing, tokenising and pattern search are not SQL; tests hold each stage against its operator's results and run() against the stages.
 ORACLE_SQL = None
 
 
