@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
 FOLDS = 4
+#: Longs of the filter of trusted ids: 64 bits each, half a megabyte in all, whatever the corpus.
+FILTER_LONGS = 1 << 16
 SMOOTHING = 1.0
 STRENGTH = 16.0
 THRESHOLD = -0.05
@@ -128,19 +130,44 @@ def judged(text: Column, ratios: Column, threshold: float) -> Column:
     return _bound(_bound(ratios[fold_of(text)], measures), verdict)
 
 
+def _place_in_filter(key: Column) -> tuple[Column, Column]:
+    """Which long of the filter, and which of its bits, stands for a key."""
+    h = F.xxhash64(key.cast("string"))
+    return F.pmod(F.shiftright(h, 6), F.lit(FILTER_LONGS)).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
+
+
+def id_filter(ids: DataFrame) -> DataFrame:
+    """One row, ``bits``: ``FILTER_LONGS`` longs in which every id of ``ids`` has its bit set, others by chance only."""
+    word, bit = _place_in_filter(F.col("doc_id"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    longs = ids.select(word.alias("word"), one.alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits"))
+    every = ids.sparkSession.range(FILTER_LONGS).select(F.col("id").cast("int").alias("word")).join(longs, "word", "left").fillna(0)
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+
+def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``text, trusted`` (0 or 1) of every row of ``docs``.
+
+    Texts whose id fails the filter of the trusted ids stay where they are; the others
+    meet the ids, of any number, by a hashed shuffle, which decides exactly.  So what
+    moves are the trusted texts and, beyond some millions of ids, ever more of the rest.
+    Rows without an id are not trusted.
+    """
+    good = trusted.select("doc_id").filter("doc_id is not null").distinct()
+    word, bit = _place_in_filter(F.col("doc_id"))
+    may_be = F.col("doc_id").isNotNull() & (F.getbit(id_filter(good).scalar()[word], bit) == 1)
+    asked = docs.select("doc_id", "text").filter(may_be).join(good.select("doc_id", F.lit(1).alias("trusted")).hint("shuffle_hash"), "doc_id", "left")
+    asked = asked.select("text", F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    return asked.unionByName(docs.filter(~may_be).select("text", F.lit(0).alias("trusted")))
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """One row, ``ratios``: for each fold, log(target share / raw share) of each bucket in the other folds.
 
-    ``trusted`` holds the ids of the trusted documents, of any number, so they are not
-    broadcast: texts and ids meet by a shuffle on the id at every size, hashed on the
-    side of the ids, which no key crowds as they are distinct.  Rows without an id are
-    spread by their text, as they match none.
+    ``trusted`` holds the ids of the trusted documents, of any number.
     """
-    good = trusted.select("doc_id").distinct().select("doc_id", F.lit(0).alias("salt"), F.lit(1).alias("trusted"))
-    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text") % 4096).otherwise(0).cast("int")
-    marked = docs.select("doc_id", "text", salt.alias("salt")).join(good.hint("shuffle_hash"), ["doc_id", "salt"], "left")
     # the fold is a column before the explosion: beside it, the whole text would be hashed again for every n-gram
-    folded = marked.select("text", fold_of(F.col("text")).alias("fold"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    folded = marked(docs, trusted).select("text", fold_of(F.col("text")).alias("fold"), "trusted")
     grams = folded.select("fold", "trusted", F.explode(_bound(hashed_words(F.col("text")), ngram_buckets)).alias("bucket"))
     counts = grams.filter(F.col("bucket").isNotNull()).groupBy("bucket", "fold").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
     folds = range(FOLDS)
