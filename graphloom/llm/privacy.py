@@ -7,9 +7,9 @@ Every token of an identifier's shape (six characters or more, a digit among them
 instance, and its surroundings are its lexical patterns: the one, two and three words
 before it with all marks between them, as in ``call me at _`` or ``token = "_``, and the
 first two of these together with the word after it.  Seeds induce patterns: those around
-``SUPPORT`` distinct certain instances or more, and around one in ``PATTERNS`` of all
-links of certain instances, so that there are at most ``PATTERNS`` of them.  How often
-each is followed by no identifier is counted over all texts.
+``SUPPORT`` distinct certain instances or more, in a table of any size.  How often each
+is filled by a token that is no identifier is counted over all texts, by hashes of the
+words around every token; a filter of fixed size keeps back those of no induced pattern.
 
 Spark scores the pattern-instance graph in rounds: a pattern by the trust in its distinct
 instances (those trusted at ``CONFIDENT`` or more) over their number and that count, an
@@ -22,17 +22,19 @@ bootstrap, until one believes nothing new or ``BOOTSTRAPS`` are done.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.functions.staging import stage
+from graphloom.functions.staging import delete, noted, stage
+from graphloom.llm.words import mix
 
 KINDS = ("email", "ip", "card", "phone", "ident")
 ROUNDS = 3
@@ -40,7 +42,12 @@ BOOTSTRAPS = 3
 SUPPORT = 3
 #: Share of what fills a pattern, identifiers or not, that has to be known: half, as an unknown identifier is no error.
 CONFIDENT = 0.5
-PATTERNS = 8000
+#: Where the instance stands in a pattern: lowered texts have no line ends.
+SLOT = "\n"
+#: 32-bit words of the filter of induced patterns: 32 bits each, half a megabyte in all, whatever the corpus.
+FILTER_WORDS = 1 << 17
+#: Texts are counted in chunks of whole texts of about this length together.
+CHUNK_CHARS = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -50,11 +57,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _KEY = re.compile(r"(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}")
-_TOKEN = re.compile(r"[^\s\"'()\[\]<>{}=]+")
 _SHAPED = re.compile(r"(?=[^\s\"'()\[\]<>{}=]*[0-9])[^\s\"'()\[\]<>{}=]{6,}")
 _LABEL = re.compile(r"[^\W\d_]\w*[:#]")
-_WORD = re.compile(r"\w+")
-_AFTER = re.compile(r"\W*\w+")
+_WORD = re.compile("[0-9A-Za-z_\x80-\U0010ffff]+")
+_AFTER = re.compile("[^0-9A-Za-z_\x80-\U0010ffff]*[0-9A-Za-z_\x80-\U0010ffff]+")
 #: Marks that end a token but don't belong to it, the longest word of a pattern, and how far patterns look.
 TRAILING, WORD_CHARS, REACH = ".,;:!?", 32, 120
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -106,13 +112,13 @@ def _lowered(text: str) -> str:
 
 
 def patterns_around(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a token's place: left words, ``_``, and the word after it or nothing."""
+    """The lexical patterns of a token's place: left words, ``SLOT``, and the word after it or nothing."""
     left = _lowered(text[max(0, start - REACH) : start])
     lefts = []
     for m in reversed(list(_WORD.finditer(left))):
         if (m.start() == 0 and start > REACH) or m.end() - m.start() > WORD_CHARS or len(lefts) == 3:
             break
-        lefts.append(left[m.start() :] + "_")
+        lefts.append(left[m.start() :] + SLOT)
     after = _AFTER.match(_lowered(text[end : end + REACH]))
     if after and after.end() <= WORD_CHARS:
         lefts += [x + after.group() for x in lefts[:2]]
@@ -184,38 +190,138 @@ def _scanned(keys: str):
     return run
 
 
-def _followed(patterns: list[str]):
-    """Counts, per pattern, of its places that no identifier fills, from rows ``text``."""
+_BYTE = np.arange(256)
+_WORD_BYTE = (_BYTE >= 128) | np.isin(_BYTE, [ord(c) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"])
+_GAP_BYTE = np.isin(_BYTE, [ord(c) for c in " \n\"'()[]<>{}="])
+_DIGIT_BYTE = (_BYTE >= 48) & (_BYTE <= 57)
+_TRAIL_BYTE = np.isin(_BYTE, [ord(c) for c in TRAILING])
+_BYTE_KEYS = np.random.default_rng(71).integers(1, 2**63, 256, dtype=np.uint64)
+_STEP = 0x9E3779B97F4A7C15
+_UNSTEP = pow(_STEP, -1, 1 << 64)
+_SIDE = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(step: int, length: int) -> np.ndarray:
+    """``step`` to the power of 0, 1, 2 and so on, modulo 2^64."""
+    powers = np.full(length, step, dtype=np.uint64)
+    powers[0] = 1
+    return np.cumprod(powers, out=powers)
+
+
+class _Ranges:
+    """Hashes of any byte ranges of a text, from one running sum: equal bytes have equal hashes wherever they stand."""
+
+    def __init__(self, data: np.ndarray):
+        # powers are kept between chunks, in lengths that double
+        length = 1 << max(21, len(data).bit_length())
+        self.inverse = _powers(_UNSTEP, length)
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_KEYS[data] * _powers(_STEP, length)[: len(data)], out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix(((self.sums[end] - self.sums[start]) * self.inverse[start]) ^ (end - start).astype(np.uint64))
+
+
+def _code(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of a pattern from those of its two sides; no words on the right are 0."""
+    return mix(left + right * _SIDE)
+
+
+def pattern_codes(patterns: list[str]) -> np.ndarray:
+    """The hash of each pattern, as :func:`unfilled_codes` gives it."""
+    sides = [x.encode() for p in patterns for x in p.split(SLOT)]
+    ends = np.cumsum([len(x) for x in sides], dtype=np.int64)
+    starts = np.concatenate((np.zeros(1, dtype=np.int64), ends))[: len(ends)]
+    hashed = _Ranges(np.frombuffer(b"".join(sides), dtype=np.uint8))(starts, ends)
+    return _code(hashed[::2], np.where(ends[1::2] > starts[1::2], hashed[1::2], np.uint64(0)))
+
+
+def unfilled_codes(lowered: list[str]) -> np.ndarray:
+    """Hashes of all patterns around tokens that are no identifiers, one for each place, in lowered texts.
+
+    A token is cut as instances are: without a label before it, which ends a place of
+    its own, and without marks after it.  One that begins with a digit or a plus sign may
+    be a part of an identifier that holds spaces, and is not counted.
+    """
+    data = np.frombuffer("\n".join(["", *lowered, ""]).encode("utf-8", "replace"), dtype=np.uint8)
+    none = np.zeros(0, dtype=np.uint64)
+    edge = lambda inside: np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    word, token = edge(_WORD_BYTE[data]), edge(~_GAP_BYTE[data])
+    (words, word_ends), (starts, stops) = (word[::2], word[1::2]), (token[::2], token[1::2])
+    if not len(words) or not len(starts):
+        return none
+    at = np.minimum(np.searchsorted(words, starts), len(words) - 1)
+    ends = np.minimum(word_ends[at], len(data) - 1)
+    labelled = (words[at] == starts) & ~_DIGIT_BYTE[data[starts]] & (data[starts] != ord("_")) & (ends < stops) & np.isin(data[ends], (ord(":"), ord("#")))
+    inner = np.where(labelled, ends + 1, starts)  # where the token without its label begins
+    solid = np.maximum.accumulate(np.where(_TRAIL_BYTE[data], -1, np.arange(len(data))))
+    outer = np.maximum(solid[stops - 1] + 1, inner)
+    count = lambda mask: np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(mask)))
+    digits, chars = count(_DIGIT_BYTE[data]), count((data & 0xC0) != 0x80)
+    shaped = (chars[outer] - chars[inner] >= 6) & (digits[outer] > digits[inner])
+    place, end = np.concatenate((starts, inner[labelled])), np.concatenate((outer, outer[labelled]))
+    own = np.concatenate((shaped, shaped[labelled]))
+    first = data[place]
+    keep = ~own & ~_DIGIT_BYTE[first] & (first != ord("+")) & (place < np.concatenate((stops, stops[labelled])))
+    place, end = place[keep], end[keep]
+    lines = np.flatnonzero(data == 10)  # the text of a place lies between two of these
+    before = lines[np.searchsorted(lines, place) - 1]
+    behind = lines[np.searchsorted(lines, place)]
+    ranges = _Ranges(data)
+    zero = np.zeros(len(place), dtype=np.uint64)
+    next_word = np.searchsorted(words, end)
+    right_end = word_ends[np.minimum(next_word, len(words) - 1)]
+    has_right = (next_word < len(words)) & (right_end <= behind)
+    right = np.where(has_right, ranges(end, np.where(has_right, right_end, end)), zero)
+    last = np.searchsorted(words, place)
+    out = []
+    for k in (1, 2, 3):
+        begin = words[np.maximum(last - k, 0)]
+        real = (last >= k) & (begin > before)
+        left = ranges(begin[real], place[real])
+        out.append(_code(left, zero[real]))
+        if k < 3:
+            both = has_right[real]
+            out.append(_code(left[both], right[real][both]))
+    return np.concatenate(out)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``pattern, code`` from rows ``pattern``."""
+    for batch in batches:
+        codes = pattern_codes(batch.column("pattern").to_pylist()).view(np.int64) if batch.num_rows else np.zeros(0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("pattern"), pa.array(codes)], ["pattern", "code"])
+
+
+def _pattern_filter(codes: DataFrame) -> np.ndarray:
+    """``FILTER_WORDS`` words in which every code has its bit set, others by chance only."""
+    word = F.pmod(F.shiftright("code", 5), F.lit(FILTER_WORDS)).cast("int").alias("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("code").bitwiseAND(F.lit(31)).cast("int")).alias("bit")
+    out = np.zeros(FILTER_WORDS, dtype=np.uint32)
+    rows = codes.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most FILTER_WORDS rows
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _unfilled(bits: np.ndarray):
+    """Counts, for each code that passes the filter, of its places that no identifier fills, from rows ``text``."""
+
+    def counted(lowered: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes = unfilled_codes(lowered)
+        word = ((codes.view(np.int64) >> 5) % FILTER_WORDS).astype(np.int64)
+        return np.unique(codes[(bits[word] >> (codes & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1], return_counts=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        rights = defaultdict(list)
-        for p in patterns:
-            left, _, right = p.rpartition("_")
-            rights[left].append((right, p))
-        search = ahocorasick.Automaton()
-        for left in rights:
-            search.add_word(left, left)
-        search.make_automaton()
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                low = _lowered(text or "")
-                for last, left in search.iter(low):
-                    begin, start = last + 1 - len(left), last + 1
-                    if begin and (low[begin - 1].isalnum() or low[begin - 1] == "_"):
-                        continue
-                    token = _TOKEN.match(low, start)
-                    stop = token.end() if token else start
-                    a, b = _trimmed(low, start, stop)
-                    # an identifier stands there, or one that holds spaces or marks: counted among the instances
-                    if _is_shaped(low[a:b]) or (low[start : start + 1] in "+(" or low[start : start + 1].isdigit()):
-                        continue
-                    for right, p in rights[left]:
-                        counts[p] += not right or low.startswith(right, b)
-            found = [(p, n) for p, n in counts.items() if n]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["pattern", "n"])
+            lowered, size = [], 0
+            for k, text in enumerate(batch.column("text")):
+                lowered.append(_lowered(text.as_py() or ""))
+                size += len(lowered[-1])
+                if size >= CHUNK_CHARS or k == batch.num_rows - 1:
+                    codes, n = counted(lowered)
+                    yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+                    lowered, size = [], 0
 
     return run
 
@@ -223,50 +329,55 @@ def _followed(patterns: list[str]):
 def scored_patterns(edges: DataFrame, noise: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """``pattern, score`` from distinct rows ``pattern, instance, certain`` and ``pattern, n``, how often no identifier fills it.
 
-    Scores are one row per induced pattern, at most ``PATTERNS`` of them, so they are
-    broadcast; the instances' side is partly summed before each shuffle.
+    Scores are one row per induced pattern, so no join is forced to broadcast them; the
+    instances' side is partly summed before each shuffle.
     """
     trust = edges.withColumn("trust", F.col("certain").cast("double"))
     for k in range(rounds):
         scores = trust.groupBy("pattern").agg(F.sum(F.when(F.col("trust") >= confident, F.col("trust")).otherwise(0.0)).alias("sum"), F.count("*").alias("all"), F.count_if(F.col("trust") >= confident).alias("sure"))
-        scores = scores.join(F.broadcast(noise), "pattern", "left")
+        scores = scores.join(noise, "pattern", "left")
         share = F.col("sum") / (F.col("all") + F.coalesce("n", F.lit(0)))
         scores = stage(scores.select("pattern", F.when(F.col("sure") >= support, share).otherwise(F.lit(0.0)).alias("score")), "pattern-scores")
         if k == rounds - 1:
             return scores
-        believed = edges.join(F.broadcast(scores), "pattern").groupBy("instance").agg(F.max("score").alias("belief"))
+        believed = edges.join(scores, "pattern").groupBy("instance").agg(F.max("score").alias("belief"))
         trust = edges.join(believed, "instance").withColumn("trust", F.when(F.col("certain"), F.lit(1.0)).otherwise(F.col("belief")))
 
 
-def believed_instances(places: DataFrame, texts: DataFrame, bootstraps: int = BOOTSTRAPS, patterns: int = PATTERNS, support: int = SUPPORT) -> DataFrame:
+def believed_instances(places: DataFrame, texts: DataFrame, bootstraps: int = BOOTSTRAPS, support: int = SUPPORT) -> DataFrame:
     """``instance`` of all that stand in a confident pattern, from rows ``instance, seed, is_base, patterns`` and rows ``text``."""
+    with noted() as paths:
+        known = _bootstrapped(places, texts, bootstraps, support)
+    for path in paths:
+        if path != getattr(known, "_staged_at", None):
+            delete(places.sparkSession, path)
+    return known
+
+
+def _bootstrapped(places: DataFrame, texts: DataFrame, bootstraps: int, support: int) -> DataFrame:
     links = places.select("instance", "seed", "is_base", F.explode("patterns").alias("pattern"))
     links = stage(links.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("is_base").alias("is_base")), "pattern-graph")
-    known, noise, counted = None, None, set()
+    known, noise, n_known = None, None, 0
     for _ in range(bootstraps):
         sure = links.withColumn("certain", F.col("seed"))
         if known is not None:
             sure = links.join(known.withColumn("was_found", F.lit(True)), "instance", "left")
             sure = sure.withColumn("certain", F.col("seed") | F.coalesce("was_found", F.lit(False))).drop("was_found")
-        per_pattern = stage(sure.filter("certain").groupBy("pattern").agg(F.count("*").alias("n")), "support")
-        least = F.greatest(F.lit(support), F.ceil(per_pattern.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar() / F.lit(patterns)))
-        induced = [r["pattern"] for r in per_pattern.filter(F.col("n") >= least).select("pattern").orderBy("pattern").collect()]  # at most ``patterns``
-        if not induced:
-            break
-        chosen = F.broadcast(links.sparkSession.createDataFrame([(p,) for p in induced], "pattern string"))
-        edges = stage(sure.join(chosen, "pattern", "left_semi").select("pattern", "instance", "certain", "is_base"), "edges")
-        fresh = [p for p in induced if p not in counted]  # the texts are read again for these alone
-        if fresh:
-            more = texts.mapInArrow(_followed(fresh), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+        induced = sure.filter("certain").groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("pattern")
+        induced = stage(induced.mapInArrow(_coded, "pattern string, code long"), "induced")
+        edges = stage(sure.join(induced, "pattern", "left_semi").select("pattern", "instance", "certain", "is_base"), "edges")
+        fresh = induced if noise is None else induced.join(noise, "pattern", "left_anti")  # the texts are read again for these alone
+        bits = _pattern_filter(fresh)
+        if bits.any():
+            counts = texts.mapInArrow(_unfilled(bits), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+            more = fresh.join(counts, "code", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
             noise = stage(more if noise is None else noise.unionByName(more), "noise")
-            counted.update(fresh)
+        if noise is None:
+            break
         good = scored_patterns(edges, noise, support=support).filter(F.col("score") >= CONFIDENT)
-        found = edges.filter(~F.col("is_base")).join(F.broadcast(good.select("pattern")), "pattern", "left_semi").select("instance").distinct()
-        if known is None:
-            known, old = stage(found, "believed"), 0
-        else:
-            known, old = stage(known.unionByName(found).distinct(), "believed"), n_known
-        n_known = known.count()
+        found = edges.filter(~F.col("is_base")).join(good.select("pattern"), "pattern", "left_semi").select("instance").distinct()
+        known = stage(found if known is None else known.unionByName(found).distinct(), "believed")
+        old, n_known = n_known, known.count()
         if n_known == old:
             break
     return known if known is not None else places.select("instance").limit(0)
