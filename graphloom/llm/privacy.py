@@ -48,6 +48,8 @@ SLOT = "\n"
 FILTER_WORDS = 1 << 17
 #: Texts are counted in chunks of whole texts of about this length together.
 CHUNK_CHARS = 1 << 20
+#: Counts that a task holds before it hands them over.
+HELD_CODES = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -312,16 +314,33 @@ def _unfilled(bits: np.ndarray):
         word = ((codes.view(np.int64) >> 5) % FILTER_WORDS).astype(np.int64)
         return np.unique(codes[(bits[word] >> (codes & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1], return_counts=True)
 
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        n = np.zeros(len(codes), dtype=np.int64)
+        np.add.at(n, at, np.concatenate([k for _, k in parts]))
+        return codes, n
+
+    def rows(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task sums the counts of its chunks, and hands over what it has whenever that is ``HELD_CODES`` or more
+        parts, held, lowered, size = [], 0, [], 0
         for batch in batches:
-            lowered, size = [], 0
-            for k, text in enumerate(batch.column("text")):
+            for text in batch.column("text"):
                 lowered.append(_lowered(text.as_py() or ""))
                 size += len(lowered[-1])
-                if size >= CHUNK_CHARS or k == batch.num_rows - 1:
-                    codes, n = counted(lowered)
-                    yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
-                    lowered, size = [], 0
+                if size >= CHUNK_CHARS:
+                    parts.append(counted(lowered))
+                    held, lowered, size = held + len(parts[-1][0]), [], 0
+                if held >= HELD_CODES:
+                    parts = [summed(parts)]
+                    held = len(parts[0][0])
+                    if held >= HELD_CODES // 2:
+                        yield rows(*parts[0])
+                        parts, held = [], 0
+        parts.append(counted(lowered))
+        yield rows(*summed(parts))
 
     return run
 
