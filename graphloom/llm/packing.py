@@ -35,8 +35,9 @@ from graphloom.functions.staging import stage
 CAPACITY = 4096
 END_ID = 1
 SALTS = 64
-#: Texts tokenised at a time, in bytes, and words whose ids a worker remembers.
-CHUNK_BYTES = 8 << 20
+#: Texts tokenised at a time, in bytes, new words encoded at a time, and words whose ids a worker remembers.
+CHUNK_BYTES = 1 << 20
+ENCODED_WORDS = 4096
 REMEMBERED = 600_000
 
 _tokenizers: dict = {}
@@ -84,7 +85,9 @@ class _Known:
     def numbered(self, strings: list[str]) -> np.ndarray:
         new = [w for w in strings if w not in self.numbers]
         if new:
-            self.add(new, [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+            parts = (new[k : k + ENCODED_WORDS] for k in range(0, len(new), ENCODED_WORDS))
+            # an encoding takes a hundred times the memory of its ids: few exist at a time
+            self.add(new, [e.ids for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
         return np.fromiter(map(self.numbers.__getitem__, strings), dtype=np.int64, count=len(strings))
 
 
@@ -143,6 +146,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
                 lo = hi
+                pa.default_memory_pool().release_unused()
 
     return run
 

@@ -156,3 +156,22 @@ def test_mixed_documents(spark):
 def test_ticket_is_seeded(spark):
     row = spark.range(3, 4).selectExpr("id as doc_id")
     assert row.select(mixing.ticket(row.doc_id, "s")).first()[0] == hashlib.md5(b"s:3").hexdigest()
+
+
+@pytest.mark.skipif(not HAS_TOKENIZER, reason="no tokenizer")
+def test_new_words_are_encoded_a_few_thousand_at_a_time():
+    known = packing._Known(packing.default_tokenizer())
+    real, sizes = known.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, words, **options):
+            sizes.append(len(words))
+            return real.encode_batch_fast(words, **options)
+
+    known.tokenizer = Counting()
+    words = [f"w{k}x" for k in range(20_000)]
+    numbers = known.numbered(words)
+    assert sum(sizes) == len(words) and max(sizes) <= 4096
+    for k in (0, 4095, 4096, 19_999):
+        first = int(known.sizes[: numbers[k]].sum())
+        assert known.ids[first : first + known.sizes[numbers[k]]].tolist() == real.encode(words[k], add_special_tokens=False).ids
