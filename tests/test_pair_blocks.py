@@ -1,0 +1,89 @@
+"""Pairs by blocks: best hits, extremes, counts and sums taken in the tasks against all pairs."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from graphloom.operators import graph, placement, similarity
+
+
+def _vectors(spark, n=150, copies=40, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = [(int(k), [float(x) for x in rng.normal(size=6)], int(k % 3)) for k in range(n)]
+    rows += [(1000 + k, rows[5][1], k % 3) for k in range(copies)]  # ties
+    rows += [(2000, [0.0] * 6, 0), (2001, None, 0), (2002, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1), (2003, rows[0][1], None)]
+    return spark.createDataFrame(rows, "id long, vec array<double>, g int").repartition(3)
+
+
+def _raw(pairs):
+    return pairs.withColumn("raw_score", F.round(0.3 * F.col("psi") + 0.7 * F.col("subsmat"), 9))
+
+
+def _hits(pairs, by=None):
+    return sorted(tuple(r) for r in graph.best_hits(_raw(pairs), by=by).select("src", "dst", F.col("raw_score").cast("string")).collect())
+
+
+def test_best_pairs_have_the_best_hits_of_all_pairs_and_are_few(spark, monkeypatch):
+    vectors = _vectors(spark)
+    for block in (16, 1024):
+        assert _hits(similarity.best_pairs(vectors, block)) == _hits(similarity.vector_pairs(vectors, block=block))
+    plain = vectors.filter("id < 150")
+    assert similarity.best_pairs(plain, 1024).count() < similarity.vector_pairs(plain).count() / 3
+    assert _hits(similarity.best_pairs(vectors, by="g"), ["g"]) == _hits(similarity.vector_pairs(vectors, by="g"), ["g"])
+
+
+def test_pairs_inside_groups_are_those_of_all_pairs(spark):
+    vectors = _vectors(spark)
+    group = vectors.filter("g is not null").select("id", F.col("g").alias("cluster"))
+    want = graph.induced(similarity.vector_pairs(vectors), group).select("cluster", "seq1", "seq2").collect()
+    got = similarity.vector_pairs(vectors, by="g").collect()
+    assert sorted((r["g"], r["seq1"], r["seq2"]) for r in got) == sorted(tuple(r) for r in want)
+
+
+def test_scores_from_products_are_those_from_differences(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=40)
+    x = [base + rng.normal(size=40) * s for s in (0, 1e-9, 1e-6, 1e-3, 0.1, 1, 10, 100)]
+    rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)]
+    for r in similarity.vector_pairs(spark.createDataFrame(rows, "id long, vec array<double>")).collect():
+        a, b = x[r["seq1"]], x[r["seq2"]]
+        assert abs(r["psi"] - 1 / (1 + np.sqrt(((a - b) ** 2).sum()))) < 1e-13
+        assert abs(r["subsmat"] - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-13
+
+
+def test_extremes_and_count_are_those_of_all_pairs(spark):
+    vectors = _vectors(spark)
+    every = similarity.vector_pairs(vectors)
+    ends = every.agg(F.min("psi"), F.max("psi"), F.min("subsmat"), F.max("subsmat")).first()
+    assert str(tuple(similarity.pair_extremes(vectors, 16).first())) == str(tuple(ends))
+    assert similarity.pair_count(vectors, 16).first()["pairs"] == every.count()
+    assert similarity.pair_count(vectors.limit(0)).first()["pairs"] == 0
+
+
+def test_a_row_is_copied_to_a_bounded_number_of_blocks(spark):
+    rows = spark.range(3000).select("id")
+    got = similarity.block_pairs(rows, 16)
+    assert got.groupBy("id").count().agg(F.max("count")).first()[0] <= similarity.MOST_BLOCKS
+    by = similarity.block_pairs(rows.withColumn("g", F.col("id") % 2), 16, "g")
+    assert by.groupBy("id").count().agg(F.max("count")).first()[0] <= similarity.MOST_BLOCKS
+
+
+def test_sums_are_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    rows = [(k, m, float(rng.randint(1, 50))) for k in range(60) for m in range(12) if rng.random() < 0.6]
+    rows += [(70, 50, 1.0), (71, 1, 2.0), (72, 1, None)]
+    forward = spark.createDataFrame(rows, "rec_id long, hmm_id long, fwd_raw double")
+    members = spark.createDataFrame([(f"c{k % 4}", k % 4, k) for k in range(55)] + [("one", 9, 70), ("two", 10, 56), ("two", 10, 57)], "cluster string, ord long, id long")
+    r2 = placement.r_squared(forward).withColumn("r_square", F.round("r_square", 9)).cache()
+    show = lambda t: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in t.collect()), key=repr)
+    for block in (16, 1024):
+        sums, inside = placement.group_sums(forward, members, block=block), placement.group_sums(forward, members, True, block)
+        assert show(placement.sums_means(sums)) == show(placement.group_means(r2, members))
+        for got in (placement.sums_within(inside, ["cluster"]), placement.sums_within(sums, ["cluster"], members)):
+            assert show(got) == show(placement.cluster_nulls(r2, members))
+        assert show(placement.sums_within(inside)) == show(placement.global_null(r2, members))
+        assert show(placement.sums_leaving(sums, members)) == show(placement.out_of_cluster(r2, members))
+        assert show(placement.goals_from_sums(sums, members)) == show(placement.goals(r2, members))
