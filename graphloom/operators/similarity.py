@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -262,14 +263,42 @@ def residues(aligned: DataFrame) -> DataFrame:
     return aligned.select("id", F.posexplode(F.filter(F.split("seq", ""), lambda x: x != "")).alias("pos", "residue"))
 
 
-def _letter_table(matrix: DataFrame) -> Column:
-    """The residues of ``matrix`` in order, and the values of all ordered pairs of them row by row: one constant of residues squared."""
-    letters = matrix.select(F.col("a").alias("x")).distinct()
-    pairs = letters.crossJoin(letters.withColumnRenamed("x", "y"))  # residues squared: an alphabet's
-    values = pairs.join(matrix.select(F.col("a").alias("x"), F.col("b").alias("y"), "value"), ["x", "y"], "left")
-    rows = F.array_sort(F.collect_list(F.struct("x", "y", F.col("value").cast("double").alias("v"))))
-    one = values.agg(rows.alias("rows")).select(F.struct(F.array_sort(F.array_distinct(F.col("rows.x"))).alias("letters"), F.col("rows.v").alias("values")).alias("t"))
-    return one.scalar()
+def _walked(values: dict[tuple[str, str], float], gap_open: float, gap_extend: float, gap: str):
+    """Scores of Arrow rows ``pair, seq1, seq2``; single letters of the matrix are looked up by code point."""
+    letters = sorted({c for pair in values for c in pair if len(c) == 1})
+    points = np.array([ord(c) for c in letters] or [-1], dtype=np.int64)
+    place = {c: k for k, c in enumerate(letters)}
+    table = np.zeros((len(points) + 1, len(points) + 1))  # the last place: unknown letters
+    for (x, y), value in values.items():
+        if x in place and y in place:
+            table[place[x], place[y]] = value
+
+    def places(text: str) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(points, codes), len(points) - 1)
+        return np.where(points[at] == codes, at, len(points)), codes == ord(gap)
+
+    def score(one: str | None, other: str | None) -> float | None:
+        if not one or not other or len(one) != len(other):
+            return None
+        (x, x_gap), (y, y_gap) = places(one), places(other)
+        gapped = x_gap | y_gap
+        before = np.concatenate(([True], gapped[:-1]))
+        cost = np.where(gapped, np.where(before, gap_extend, gap_open), table[x, y])
+        seen, ratios = np.cumsum(cost)[-1] / len(cost), []  # one after the other, as the sum is defined
+        for z, none in ((x, x_gap), (y, y_gap)):
+            n, own = int((~none).sum()), float(np.cumsum(np.where(none, 0.0, table[z, z]))[-1])
+            if not n or not own:
+                return None
+            ratios.append(seen / (own / n))
+        return float(ratios[0] + ratios[1]) / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [score(x.as_py(), y.as_py()) for x, y in zip(batch.column("seq1"), batch.column("seq2"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(found, pa.float64())], ["pair", "score"])
+
+    return run
 
 
 def alignment_scores(pairs: DataFrame, matrix: DataFrame, gap_open: float = GAP_OPEN, gap_extend: float = GAP_EXTEND, gap: str = "-") -> DataFrame:
@@ -279,29 +308,13 @@ def alignment_scores(pairs: DataFrame, matrix: DataFrame, gap_open: float = GAP_
     residues.  A column with a gap costs ``gap_open`` where the column before had none and
     ``gap_extend`` elsewhere, so a leading gap extends.  The sum per column is set against
     each string's score with itself, and both ratios are averaged.  Each pair is one walk
-    over its two strings; nothing is shuffled.
+    over its two strings, as arrays of code points; nothing is shuffled.  The matrix, an
+    alphabet squared, is a constant of the tasks.
     """
-    zero, none = F.lit(0.0), F.lit(0).cast("long")
-    # a residue as its place among the letters, 0 for an unknown one and -1 for a gap
-    places = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.when(x == gap, -1).otherwise(F.array_position("t.letters", x)).cast("int"))
-    table = pairs.select("pair", "seq1", "seq2").withColumn("t", _letter_table(matrix))
-    table = table.select("pair", "t", F.arrays_zip(places("seq1").alias("x"), places("seq2").alias("y")).alias("columns"))
-    value = lambda x, y: F.when((x > 0) & (y > 0), F.coalesce(F.get("t.values", (x - 1) * F.size("t.letters") + y - 1), zero)).otherwise(zero)
-
-    def step(acc: Column, c: Column) -> Column:
-        x, y = c["x"], c["y"]
-        gapped = (x < 0) | (y < 0)
-        cost = F.when(gapped, F.when(acc["gap"], F.lit(float(gap_extend))).otherwise(F.lit(float(gap_open)))).otherwise(value(x, y))
-        parts = [(acc["seen"] + cost).alias("seen"), gapped.alias("gap")]
-        for k, z in enumerate((x, y)):
-            parts += [(acc[f"own{k}"] + value(z, z)).alias(f"own{k}"), (acc[f"n{k}"] + (z >= 0).cast("long")).alias(f"n{k}")]
-        return F.struct(*parts)
-
-    start = F.struct(zero.alias("seen"), F.lit(True).alias("gap"), zero.alias("own0"), none.alias("n0"), zero.alias("own1"), none.alias("n1"))
-    sums = table.select("pair", F.size("columns").alias("n"), F.aggregate("columns", start, step).alias("s"))
-    seen = F.try_divide("s.seen", "n")
-    ratio = lambda k: F.try_divide(seen, F.try_divide(F.col(f"s.own{k}"), F.col(f"s.n{k}")))
-    return sums.select("pair", ((ratio(0) + ratio(1)) / 2).alias("score"))
+    given = matrix.select("a", "b", F.col("value").cast("double").alias("value")).filter("a is not null and b is not null and value is not null")
+    values = {(r["a"], r["b"]): r["value"] for r in given.collect()}  # residues squared
+    kind = pairs.schema["pair"].dataType.simpleString()
+    return pairs.select("pair", "seq1", "seq2").mapInArrow(_walked(values, float(gap_open), float(gap_extend), gap), f"pair {kind}, score double")
 
 
 def profile_scores(pairs: DataFrame, profiles: DataFrame) -> DataFrame:

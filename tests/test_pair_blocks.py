@@ -87,3 +87,30 @@ def test_sums_are_those_of_all_pairs(spark):
         assert show(placement.sums_within(inside)) == show(placement.global_null(r2, members))
         assert show(placement.sums_leaving(sums, members)) == show(placement.out_of_cluster(r2, members))
         assert show(placement.goals_from_sums(sums, members)) == show(placement.goals(r2, members))
+
+
+def test_alignments_of_odd_and_long_strings(spark):
+    letters, rng = "ACé𝔸", random.Random(6)
+    values = {(a, b): rng.choice([-1.5, 0.25, 4.0]) + 5 * (a == b) for a in letters for b in letters}
+    matrix = spark.createDataFrame([(a, b, v) for (a, b), v in values.items()], "a string, b string, value double")
+    text = lambda n: "".join(rng.choice(letters + "-?") for _ in range(n))
+    pairs = [(k, text(n), text(n)) for k, n in enumerate((1, 2, 7, 50, 200_000))]
+    odd = [(10, "", ""), (11, None, "A"), (12, "AC", "A"), (13, "--", "AC"), (14, "??", "AC")]
+
+    def plain(x, y):
+        seen, gap = 0.0, True
+        for a, b in zip(x, y, strict=True):
+            here = "-" in (a, b)
+            seen += (0.0 if gap else -5.0) if here else values.get((a, b), 0.0)
+            gap = here
+        own = [[values.get((c, c), 0.0) for c in z if c != "-"] for z in (x, y)]
+        if not all(own) or not all(map(sum, own)):
+            return None
+        return sum(seen / len(x) / (sum(o) / len(o)) for o in own) / 2
+
+    rows = spark.createDataFrame(pairs + odd, "pair long, seq1 string, seq2 string")
+    got = {r["pair"]: r["score"] for r in similarity.alignment_scores(rows, matrix).collect()}
+    assert len(got) == len(pairs + odd) and all(got[k] is None for k, _, _ in odd)
+    for k, x, y in pairs:
+        want = plain(x, y)
+        assert got[k] == want if want is None else abs(got[k] - want) < 1e-9
