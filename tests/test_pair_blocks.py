@@ -114,3 +114,17 @@ def test_alignments_of_odd_and_long_strings(spark):
     for k, x, y in pairs:
         want = plain(x, y)
         assert got[k] == want if want is None else abs(got[k] - want) < 1e-9
+
+
+def test_kept_pairs_are_rounded_in_the_tasks_as_spark_rounds(spark):
+    vectors = _vectors(spark)
+    plain = graph.thresholded(_raw(similarity.vector_pairs(vectors)), 0.3, "raw_score").select("seq1", "seq2", F.round("raw_score", 6).alias("raw_score"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("seq1", "seq2", F.col("raw_score").cast("string")).collect())
+    kept = similarity.kept_pairs(vectors, 0.3, block=16)
+    assert rows(kept) == rows(plain)
+    assert "round(" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    rng = np.random.default_rng(5)
+    ties = (rng.integers(-(10**9), 10**9, 3000) * 10 + 5) / 1e10
+    values = np.concatenate([ties, np.nextafter(ties, 1), np.nextafter(ties, -1), rng.normal(size=3000), [0.0, -1e-12, 0.1 + 0.2]])
+    want = [r.x for r in spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k long, v double").orderBy("k").select(F.round("v", 9).alias("x")).collect()]
+    assert (similarity.half_up(values, 9) / 1e9 == np.array(want)).all()
