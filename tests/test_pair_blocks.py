@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph, placement, similarity
@@ -128,3 +129,24 @@ def test_kept_pairs_are_rounded_in_the_tasks_as_spark_rounds(spark):
     values = np.concatenate([ties, np.nextafter(ties, 1), np.nextafter(ties, -1), rng.normal(size=3000), [0.0, -1e-12, 0.1 + 0.2]])
     want = [r.x for r in spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k long, v double").orderBy("k").select(F.round("v", 9).alias("x")).collect()]
     assert (similarity.half_up(values, 9) / 1e9 == np.array(want)).all()
+
+
+def test_score_ranges_are_those_of_all_pairs(spark, monkeypatch):
+    """Variance and percentiles without a table of pairs; scores that are none have no part."""
+    x = np.random.default_rng(11).normal(size=(90, 4))
+    rows = [(k, [float(c) for c in v], k % 4) for k, v in enumerate(x)] + [(500, [0.0] * 4, 1), (501, [1.0, 2.0, 3.0, 4.0], 9), (502, None, 0)]
+    rows += [(600 + k, [1.0, 0.0, 0.0, 0.0], 7) for k in range(5)]
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>, cluster int").repartition(3)
+    raw = F.round(similarity.PROFILE_SHARE * F.col("psi") + similarity.MATRIX_SHARE * F.col("subsmat"), 9).alias("value")
+    values = similarity.vector_pairs(vectors, by="cluster").select("cluster", raw)
+    p = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
+    want = values.groupBy("cluster").agg(F.count("value").alias("n"), F.var_samp("value").alias("spread"), p[0].alias("low"), p[1].alias("high"))
+
+    def made(*_, **__):
+        raise AssertionError("a table of pairs")
+
+    monkeypatch.setattr(similarity, "vector_pairs", made)
+    got = {r["cluster"]: r for r in similarity.score_ranges(vectors, "cluster", 2.5, 97.5, 16).collect()}
+    assert len(got) == 5
+    for r in want.collect():
+        assert got[r["cluster"]]["n"] == r["n"] and [got[r["cluster"]][c] for c in ("spread", "low", "high")] == pytest.approx([r[c] for c in ("spread", "low", "high")], abs=1e-12)
