@@ -17,13 +17,16 @@ order, but only on that of ids that can reach each other:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.staging import drop_staged, stage
 from graphloom.operators.components import connected_components
-from graphloom.operators.similarity import undirected
+from graphloom.operators.similarity import BLOCK, MATRIX_SHARE, PROFILE_SHARE, _Blocks, grouped_blocks, half_up, sides, undirected, usable_vector
 
 LIMIT = 200_000
 
@@ -51,6 +54,97 @@ def leaving(both: DataFrame) -> tuple[DataFrame, DataFrame]:
         gone, known = found, n
 
 
+# edges that are made from vectors ---------------------------------------------------------
+
+
+class _Edges:
+    """Two blocks of ``id, vec, taxon`` and the rounded scores of their parts; a column of both sides by its name."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.assign(taxon=pd.factorize(rows["taxon"], use_na_sentinel=False)[0])
+        self.blocks, self.parts_of = _Blocks(rows), sides(rows)
+        self.ids, self.taxa = self.blocks.ids, self.column("taxon")
+
+    def column(self, name: str) -> list[np.ndarray]:
+        return [part[name].to_numpy() for part in self.parts_of]
+
+    def least(self, name: str) -> list[np.ndarray]:
+        """A weight of every row, the lowest for none."""
+        return [np.nan_to_num(x.astype(float), nan=-np.inf) for x in self.column(name)]
+
+    def parts(self) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+        """Weights of a part, the lowest where there is no edge, and whether both ends are of one taxon."""
+        for a, b, wanted in self.blocks.parts():
+            raw = PROFILE_SHARE * self.blocks.psi(a, b) + MATRIX_SHARE * self.blocks.cosine(a, b)
+            wanted &= ~np.isnan(raw)
+            w = np.full(raw.shape, -np.inf)
+            w[wanted] = half_up(raw[wanted], 9) / 1e9
+            yield a, b, w, self.taxa[0][a][:, None] == self.taxa[1][b][None, :]
+
+
+def _floors(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    edges = _Edges(rows)
+    gone = edges.column("gone")
+    floor, other = ([np.full(len(ids), -np.inf) for ids in edges.ids] for _ in range(2))
+    for a, b, w, same in edges.parts():
+        for side, at, kept, axis in ((0, a, ~gone[1][b][None, :], 1), (1, b, ~gone[0][a][:, None], 0)):
+            left = np.where(kept, w, -np.inf)
+            floor[side][at] = np.maximum(floor[side][at], left.max(axis=axis, initial=-np.inf))
+            other[side][at] = np.maximum(other[side][at], np.where(same, -np.inf, left).max(axis=axis, initial=-np.inf))
+    for ids, x, y in zip(edges.ids, floor, other, strict=True):
+        yield pd.DataFrame({"id": ids, "floor": np.where(x > -np.inf, x, np.nan), "other": np.where(y > -np.inf, y, np.nan)})
+
+
+def _reached(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """What can leave, as :func:`leaving` has it."""
+    edges = _Edges(rows)
+    floor, other = edges.least("floor"), edges.least("other")
+    found = [np.zeros(len(ids), dtype=bool) for ids in edges.ids]
+    for a, b, w, same in edges.parts():
+        both = same & (w > -np.inf) & (w >= floor[0][a][:, None]) & (w >= floor[1][b][None, :])
+        found[1][b] |= (both & (w > other[0][a][:, None])).any(axis=0)
+        found[0][a] |= (both & (w > other[1][b][None, :])).any(axis=1)
+    for ids, at in zip(edges.ids, found, strict=True):
+        yield pd.DataFrame({"id": ids[at]})
+
+
+def _from_floors(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The edges that an end will ever look at, seen from it."""
+    edges = _Edges(rows)
+    floor = edges.least("floor")
+    for a, b, w, same in edges.parts():
+        for m, s, src, dst, low in ((w, same, edges.ids[0][a], edges.ids[1][b], floor[0][a]), (w.T, same.T, edges.ids[1][b], edges.ids[0][a], floor[1][b])):
+            i, j = np.nonzero((m > -np.inf) & (m >= low[:, None]))
+            yield pd.DataFrame({"src": src[i], "dst": dst[j], "w": m[i, j], "same": s[i, j]})
+
+
+def collapsed_vectors(vectors: DataFrame, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+    """:func:`collapsed` over the rounded raw scores of all pairs of ``cluster, id, taxon, vec`` in a cluster.
+
+    Every round makes the pairs anew and takes maxima in the tasks that make them, so no table of
+    pairs is written, only the edges from the floors up.
+    """
+    rows = vectors.filter(usable_vector()).select("cluster", "id", "taxon", "vec")
+    kind = vectors.schema["id"].dataType.simpleString()
+    gone, known, ends = None, 0, ["cluster", "id"]
+    while True:
+        marked = rows.withColumn("gone", F.lit(False)) if gone is None else rows.join(gone.withColumn("gone", F.lit(True)), ends, "left").fillna(False, ["gone"])
+        floors = grouped_blocks(marked, block, "cluster", _floors, f"id {kind}, floor double, other double")
+        floors = stage(floors.groupBy(*ends).agg(F.max("floor").alias("floor"), F.max("other").alias("other")), "floors")
+        held = rows.join(floors, ends, "left")
+        found = stage(grouped_blocks(held, block, "cluster", _reached, f"id {kind}").distinct(), "leaving")
+        n = found.count()
+        if n == known:  # the set only grows
+            break
+        drop_staged(floors)
+        gone, known = found, n
+    ever = stage(grouped_blocks(held, block, "cluster", _from_floors, f"src {kind}, dst {kind}, w double, same boolean"), "ever")
+    return _absorbed(ever, found, vectors.select("cluster", "id"), limit)
+
+
+# the walk ---------------------------------------------------------------------------------
+
+
 def _walked(key, rows: pd.DataFrame) -> pd.DataFrame:
     """The ordered walk over ``src, dst, w, same`` of one component: who has absorbed whom."""
     near: dict = {}
@@ -126,6 +220,13 @@ def collapsed(edges: DataFrame, members: DataFrame, limit: int = LIMIT) -> DataF
     # what can leave, and who has it among what it will ever look at
     ever = both.join(floors.select("cluster", F.col("id").alias("src"), "floor"), ["cluster", "src"], "left").filter("floor is null or w >= floor").drop("floor")
     ever = stage(ever, "ever")
+    for table in (both, floors):
+        drop_staged(table)
+    return _absorbed(ever, gone, members, limit)
+
+
+def _absorbed(ever: DataFrame, gone: DataFrame, members: DataFrame, limit: int) -> DataFrame:
+    """``cluster, rep, id`` from the edges ``cluster, src, dst, w, same`` that nodes will ever look at and what can leave."""
     links = stage(ever.join(gone.withColumnRenamed("id", "dst"), ["cluster", "dst"], "left_semi").select("cluster", "src", "dst"), "links")
     nodes = links.select("cluster", F.col("src").alias("id")).union(links.select("cluster", "dst")).distinct()
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -140,7 +241,7 @@ def collapsed(edges: DataFrame, members: DataFrame, limit: int = LIMIT) -> DataF
     large = sizes.filter(F.col("n") > limit).select("part")
     into = small if large.isEmpty() else small.unionByName(_walked_as_table(rows.join(large, "part", "left_semi")))
     into = stage(into.join(of, ["part", "id"]).select("cluster", "rep", "id"), "absorbed")
-    for table in (both, ever, links, nodes, rows, sizes, gone, floors):
+    for table in (ever, links, nodes, rows, sizes, gone):
         drop_staged(table)
     # what an absorbed id had absorbed goes with it: each id to the end of its way up
     ways = stage(members.select("cluster", "id").join(into, ["cluster", "id"], "left").select("cluster", "id", F.coalesce("rep", "id").alias("rep")), "ways")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.operators.collapse import collapsed
+from graphloom.jobs import catalog
+from graphloom.operators import similarity
+from graphloom.operators.collapse import collapsed, collapsed_vectors
 
 
 def _walk(taxon, edges):
@@ -78,3 +81,30 @@ def test_one_taxon_chain_and_hub(spark):
     chain = ({f"c{k:03d}": "t" for k in range(12)}, [(f"c{k:03d}", f"c{k + 1:03d}", float(12 - k)) for k in range(11)])
     lone = ({"l1": "t", "l2": "u"}, [])
     assert _compare(spark, {"hub": hub, "chain": chain, "lone": lone}) > 59
+
+
+def test_vectors_collapse_as_their_edges_do(spark):
+    """Rounds over pairs made anew against the table of all edges; near copies, ties, lone, zero and missing vectors, a null taxon."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(40, 5))
+    rows = []
+    for k in range(160):
+        near = base[k % 40] + (0 if k % 3 == 0 else rng.normal(size=5) * 0.1)
+        taxon = None if k % 40 == 7 else (k % 40) % 4 if rng.random() < 0.8 else int(rng.integers(4))
+        rows.append((k % 3, k, taxon, [float(v) for v in near]))
+    rows += [(5, 900, 1, [1.0] * 5), (0, 901, 2, None)]
+    vectors = spark.createDataFrame(rows, "cluster int, id int, taxon int, vec array<double>").repartition(3)
+    raw = F.round(similarity.PROFILE_SHARE * F.col("psi") + similarity.MATRIX_SHARE * F.col("subsmat"), 9).alias("score")
+    edges = similarity.vector_pairs(vectors, by="cluster").select("cluster", "seq1", "seq2", raw)
+    groups = lambda t: {(r["cluster"], r["id"]): r["rep"] for r in t.collect()}
+    want = groups(collapsed(edges, vectors.select("cluster", "id", "taxon")))
+    assert groups(collapsed_vectors(vectors, block=16)) == want and sum(i != r for (_, i), r in want.items()) > 20
+
+
+def test_the_query_writes_no_table_of_pairs(spark, monkeypatch, tmp_path):
+    def made(*_, **__):
+        raise AssertionError("a table of pairs")
+
+    monkeypatch.setattr(similarity, "vector_pairs", made)
+    spark.createDataFrame([(k, [1.0, float(k // 14)], 0) for k in range(28)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {(r["id"], r["rep"]) for r in catalog.QUERIES["collapsed_paralogs"](spark, str(tmp_path)).collect()} == {(k, k % 7) for k in range(28)}
